@@ -8,6 +8,7 @@ re-run, or a retry after executor loss, replaces exactly those hours.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from adfunnel.plans.report import experiment_report
 from adfunnel.sources.sink import write_hours
 from adfunnel.spec import Dims, ExperimentSpec, Facts
 
+FACT_NAMES = ("impressions", "ad_clicks", "view_clicks", "installs", "app_events")
+
 
 def hourly_report(facts: Facts, dims: Dims, spec: ExperimentSpec, start: str, end: str,
                   broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -30,11 +33,17 @@ def run_hours(facts: Facts, dims: Dims, spec: ExperimentSpec, start: str, end: s
     write_hours(hourly_report(facts, dims, spec, start, end), sink)
 
 
+def _log_path(sink: str) -> str:
+    # Leading underscore: readers of the report skip it.
+    return f"{sink}/_processed_hours"
+
+
 def written_hours(spark: SparkSession, sink: str) -> set[str]:
-    """Hours already present in the sink (one small row per hour reaches the driver)."""
+    """Hours already processed into the sink, including hours whose report was empty
+    (one small row per hour reaches the driver)."""
     try:
-        done = spark.read.parquet(sink).select("dt").distinct()
-    except Exception:  # no sink yet  # noqa: BLE001
+        done = spark.read.parquet(_log_path(sink)).select("dt").distinct()
+    except AnalysisException:  # nothing processed yet
         return set()
     return {r.dt for r in done.collect()}
 
@@ -43,17 +52,23 @@ def catch_up(spark: SparkSession, facts: Facts, dims: Dims, spec: ExperimentSpec
              start: str, end: str, sink: str) -> list[str]:
     """Write the hours of ``[start, end)`` that have facts but no report yet.
 
-    Returns the hours written. Pending hours are found from the impression table's
-    ``dt`` values (partition metadata on a partitioned table).
+    Returns the hours written. An hour is pending when any fact table has rows for
+    it; only the distinct ``dt`` values (one per hour) reach the driver.
     """
     have = written_hours(spark, sink)
-    landed = (facts.impressions.where((F.col("dt") >= start) & (F.col("dt") < end))
-              .select("dt").distinct())
-    pending = sorted(r.dt for r in landed.collect() if r.dt not in have)
+    tables = [getattr(facts, name) for name in FACT_NAMES]
+    landed = None
+    for df in tables:
+        hours = df.where((F.col("dt") >= start) & (F.col("dt") < end)).select("dt")
+        landed = hours if landed is None else landed.union(hours)
+    pending = sorted(r.dt for r in landed.distinct().collect() if r.dt not in have)
     if not pending:
         return []
     keep = Facts(**{name: getattr(facts, name).where(F.col("dt").isin(pending))
-                    for name in ("impressions", "ad_clicks", "view_clicks", "installs",
-                                 "app_events")})
+                    for name in FACT_NAMES})
     run_hours(keep, dims, spec, pending[0], end, sink)
+    # Logged only after the report hours are committed: a failure before this
+    # point leaves them pending, and the rerun overwrites them.
+    spark.createDataFrame([(h,) for h in pending], "dt string").coalesce(1) \
+        .write.mode("append").parquet(_log_path(sink))
     return pending
