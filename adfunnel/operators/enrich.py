@@ -50,6 +50,17 @@ def is_bounded(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def bounded(frames: list[DataFrame], max_rows: int) -> list[bool]:
+    """:func:`is_bounded` for several frames in one Spark job."""
+    probes = None
+    for i, df in enumerate(frames):
+        probe = df.limit(max_rows + 1).select(F.lit(i).alias("_frame"))
+        probes = probe if probes is None else probes.unionByName(probe)
+    counts = {r["_frame"]: r["n"] for r in
+              probes.groupBy("_frame").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [counts.get(i, 0) <= max_rows for i in range(len(frames))]
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
     if max_rows is None:
         return df
@@ -70,13 +81,16 @@ def enrich(df: DataFrame, dims: Dims, spec: ExperimentSpec,
     Unmatched or NULL keys keep the row with NULL names. Only join keys and name
     columns leave each dimension scan.
     """
+    joins = dim_joins(spec)
+    sides = [getattr(dims, j.dim).select(
+        *[F.col(d).alias(f"_{j.dim}_{d}") for _, d in j.on],
+        *[F.col(d).alias(out_name) for d, out_name in j.names]) for j in joins]
+    if broadcast_rows is not None:
+        small = bounded(sides, broadcast_rows)
+        sides = [F.broadcast(side) if ok else side for side, ok in zip(sides, small)]
     out = df
-    for j in dim_joins(spec):
+    for j, side in zip(joins, sides):
         tag = f"_{j.dim}_"
-        side = getattr(dims, j.dim).select(
-            *[F.col(d).alias(tag + d) for _, d in j.on],
-            *[F.col(d).alias(out_name) for d, out_name in j.names])
-        side = broadcast_if_bounded(side, broadcast_rows)
         cond = None
         for fact_col, dim_col in j.on:
             eq = out[fact_col] == side[tag + dim_col]

@@ -77,8 +77,6 @@ def main() -> None:
         "one_day_report_a": lambda: experiment_report(facts, dims, SPEC_A, DAY_START, DAY_END),
         "funnel_a": lambda: build_funnel(facts, SPEC_A),
         "per_auction_revenue_b": lambda: per_auction_revenue(facts.app_events, SPEC_B),
-        "report_b_from_events": lambda: experiment_report(
-            derive_facts(spark, SF_DIR), derive_dims(spark, SF_DIR), SPEC_B),
     }
     times = {}
     for name, make in queries.items():

@@ -91,3 +91,19 @@ def test_write_hour_is_idempotent(spark, tmp_path):
                "2024-01-01T01")
     out = {(r.dt, r.k) for r in spark.read.parquet(path).collect()}
     assert out == {("2024-01-01T00", 1), ("2024-01-01T01", 2), ("2024-01-01T01", 3)}
+
+
+def test_carry_event_metrics_opt_in(spark):
+    from dataclasses import replace
+
+    from adfunnel import per_auction_totals
+    facts, dims = derive_facts(spark, SF_SMALL), derive_dims(spark, SF_SMALL)
+    spec = replace(SPEC_B, carry_event_metrics=True)
+    rep = experiment_report(facts, dims, spec)
+    totals = per_auction_totals(facts.app_events, SPEC_B)
+    cols = ["target_events", "target_events_first", "customer_revenue_micros"]
+    got = rep.agg(*[F.sum(c).alias(c) for c in cols]).first()
+    want = totals.agg(*[F.sum(c).alias(c) for c in cols]).first()
+    assert got == want and got.target_events > 0
+    default = experiment_report(facts, dims, SPEC_B).agg(F.sum("target_events")).first()[0]
+    assert default == 0
