@@ -25,7 +25,7 @@ from adfunnel.functions import (
     hour_iso, idfa_match, idfa_missing, revenue_gate, touch_coalesce, unknown_device_model,
 )
 from adfunnel.operators.branches import (
-    aggregate_branch, click_rows, funnel_keys, impression_rows, install_rows,
+    aggregate_branch, click_rows, format_hours, impression_rows, install_rows,
 )
 from adfunnel.operators.enrich import enrich
 from adfunnel.operators.filters import segment_condition, skan_compatible
@@ -42,7 +42,8 @@ I, R, A = "install__ad_click__", "reeng_click__", "attribution_event__click__"
 
 
 def _round(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (signed sums can cancel exactly)
+    return df.select(*[(F.round(F.col(f.name), digits) + 0.0).alias(f.name)
                        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
                        for f in df.schema.fields])
 
@@ -239,6 +240,11 @@ def q_funnel_union(spark, sf):
 
 
 
+def q_event_rows(spark, sf):
+    rows = app_event_rows(_facts(spark, sf).app_events, SPEC_A)
+    return format_hours(rows.drop("target_events", "unreported_target_events"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "hour_range_scan": q_hour_range_scan,
@@ -257,6 +263,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ad_click_branch": q_ad_click_branch,
         "view_click_branch": q_view_click_branch,
         "install_branch": q_install_branch,
+        "event_rows": q_event_rows,
         "per_auction_revenue": q_per_auction_revenue,
         "capped_revenue": q_capped_revenue,
         "squared_capped_revenue": q_squared_capped_revenue,
@@ -278,7 +285,7 @@ def _with(*ctes: str, select: str) -> str:
 def _rounded(select: str, doubles: list[str]) -> str:
     if not doubles:
         return select
-    rep = ", ".join(f"round({c}, 4) AS {c}" for c in doubles)
+    rep = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM ({select}) q"
 
 
@@ -370,6 +377,7 @@ def oracle_sql() -> dict[str, str]:
         "ad_click_branch": _with(select=_rounded(ra.clicks_branch("ad_clicks"), sq)),
         "view_click_branch": _with(select=_rounded(ra.clicks_branch("view_clicks"), sq)),
         "install_branch": _with(select=_rounded(rb.installs_branch(), sq)),
+        "event_rows": _with(select=ra.event_rows()),
         "per_auction_revenue": _with(select=rb.per_auction()),
         "capped_revenue": _with(f"rev AS ({ra.per_auction()})",
                                 select=_rounded(ra.revenue_branch(), sq)),

@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 
 from adfunnel.functions.attribution import ATTRIBUTION, INSTALL, REENG, ZERO_IDFA
 from adfunnel.functions.hours import epoch_ntz
-from adfunnel.sources.schemas import ASSIGNMENTS
 from adfunnel.spec import SPEC_A, SPEC_B, Dims, Facts
 
 TOUCHES = (INSTALL, REENG, ATTRIBUTION)
@@ -216,29 +215,30 @@ def _epoch_ms(ts_type: T.DataType) -> Column:
     return F.unix_millis(F.col("ts"))
 
 
-def _assignment(test_id: int, group: str | None) -> Column:
-    group_type = ASSIGNMENTS.elementType["group"].dataType
+ASSIGNMENTS_DDL = "ARRAY<STRUCT<id: BIGINT, `group`: STRUCT<id: BIGINT>>>"
+
+
+def _spark_assignment(test_id: int, group: str | None) -> str:
     if group is None:
-        grp = F.lit(None).cast(group_type)
+        grp = "CAST(NULL AS STRUCT<id: BIGINT>)"
     elif group == "NULLID":
-        grp = F.struct(F.lit(None).cast("long").alias("id"))
+        grp = "named_struct('id', CAST(NULL AS BIGINT))"
     else:
-        grp = F.struct(_spark_expr(group).cast("long").alias("id"))
-    return F.struct(F.lit(test_id).cast("long").alias("id"), grp.alias("group"))
+        grp = f"named_struct('id', CAST({group.format(**_SPARK)} AS BIGINT))"
+    return f"named_struct('id', CAST({test_id} AS BIGINT), 'group', {grp})"
 
 
-def _spark_assignments(pattern: str, gate: str | None) -> Column:
-    p = _spark_expr(pattern)
-    out = None
+def _spark_assignments(pattern: str, gate: str | None) -> str:
+    arms = []
     for number, items in ASSIGNMENT_PATTERNS.items():
         if items is None:
-            value = F.lit(None).cast(ASSIGNMENTS)
+            value = f"CAST(NULL AS {ASSIGNMENTS_DDL})"
         else:
-            value = F.array(*[_assignment(t, g) for t, g in items]).cast(ASSIGNMENTS)
-        out = F.when(p == number, value) if out is None else out.when(p == number, value)
-    if gate is not None:
-        out = F.when(_spark_expr(gate), out)
-    return out
+            elems = ", ".join(_spark_assignment(t, g) for t, g in items)
+            value = f"CAST(array({elems}) AS {ASSIGNMENTS_DDL})"
+        arms.append(f"WHEN {number} THEN {value}")
+    expr = f"CASE ({pattern.format(**_SPARK)}) {' '.join(arms)} END"
+    return expr if gate is None else f"CASE WHEN {gate.format(**_SPARK)} THEN {expr} END"
 
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,9 +253,10 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_fact(events: DataFrame, name: str) -> DataFrame:
-    cols = [_spark_expr(sql).alias(col) for col, sql in FACT_RULES[name]]
-    cols += [_spark_assignments(p, g).alias(col) for col, p, g in ASSIGNMENT_RULES[name]]
-    return events.where(_spark_expr(EVENT_TYPES[name])).select(*cols)
+    """One fact table; a single ``selectExpr`` keeps plan building to one JVM call."""
+    cols = [f"{sql.format(**_SPARK)} AS `{col}`" for col, sql in FACT_RULES[name]]
+    cols += [f"{_spark_assignments(p, g)} AS `{col}`" for col, p, g in ASSIGNMENT_RULES[name]]
+    return events.where(_spark_expr(EVENT_TYPES[name])).selectExpr(*cols)
 
 
 def derive_facts(spark: SparkSession, sf_dir: str) -> Facts:
@@ -267,5 +268,5 @@ def derive_dims(spark: SparkSession, sf_dir: str) -> Dims:
     out = {}
     for name, (table, rules) in DIM_RULES.items():
         src = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        out[name] = src.select(*[_spark_expr(sql).alias(col) for col, sql in rules])
+        out[name] = src.selectExpr(*[f"{sql.format(**_SPARK)} AS `{col}`" for col, sql in rules])
     return Dims(**out)

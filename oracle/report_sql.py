@@ -112,6 +112,24 @@ class ReportSQL:
 
     # -- CTEs -------------------------------------------------------------------
     def per_auction(self) -> str:
+        select, measures, source = self._event_parts()
+        n = len(select)
+        group = "GROUP BY " + ", ".join(str(i) for i in range(1, n + 1))
+        return f"SELECT {', '.join(select + measures)} {source} {group}"
+
+    def event_rows(self) -> str:
+        """One row per credited, in-segment event and matching assignment."""
+        select, _, source = self._event_parts()
+        s, b = self.s, "impression__bid__"
+        rev, bound = "customer_revenue_micros", s.revenue_bound
+        gated = [
+            f"CASE WHEN for_reporting AND {rev} > -{bound} AND {rev} < {bound} THEN {rev} END"
+            " AS customer_revenue_micros",
+            f"CASE WHEN NOT for_reporting AND {rev} > -{bound} AND {rev} < {bound} THEN {rev} END"
+            " AS unreported_customer_revenue_micros"]
+        return f"SELECT {', '.join(select + gated)} {source}"
+
+    def _event_parts(self) -> tuple[list[str], list[str], str]:
         s = self.s
         b = "impression__bid__"
         tgt = first(f"{I}{b}campaign_target_event_id", f"{R}{b}campaign_target_event_id")
@@ -156,19 +174,18 @@ class ReportSQL:
             big(f"sum(CASE WHEN NOT for_reporting AND {rev} > -{bound} AND {rev} < {bound} THEN {rev} END)")
             + " AS unreported_customer_revenue_micros",
         ]
-        sel, grp = self._group(select, [])
         skan = (f"(CASE WHEN skan_params__version IS NULL OR skan_params__version = '' THEN "
                 f"{first(A + b + 'sk_ad_network_response__version', R + b + 'sk_ad_network_response__version', I + b + 'sk_ad_network_response__version')} "
                 f"ELSE skan_params__version END) IS NOT NULL")
-        return (
-            f"SELECT {', '.join(select + measures)} "
+        source = (
             f"FROM app_events CROSS JOIN UNNEST({first(I + b + 'bid_request__ab_test_assignments', R + b + 'bid_request__ab_test_assignments')}) AS t(u) "
             f"WHERE {self.where} AND is_uncredited <> true AND u.id = {s.test_id} "
             f"AND {first(I + b + 'campaign_tracker_type', R + b + 'campaign_tracker_type', A + b + 'campaign_tracker_type')} != '{s.excluded_tracker}' "
             f"AND {first(A + b + 'ad_group_type', R + b + 'ad_group_type', I + b + 'ad_group_type')} = '{s.ad_group_type}' "
             f"AND {first(A + b + 'app_platform', R + b + 'app_platform', I + b + 'app_platform')} = '{s.platform}' "
-            f"AND {skan} {grp}"
+            f"AND {skan}"
         )
+        return select, measures, source
 
     def impressions_branch(self) -> str:
         p = "bid__"
