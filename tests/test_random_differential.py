@@ -1,13 +1,10 @@
 """Randomised differential test: Spark report vs the DuckDB oracle on random facts.
-import os, sys
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 Fact rows draw every column independently from small pools that include NULL,
 so touch priorities, NULL logic, gates, caps and the cohort edge mix far more
 freely than in the derived driver data. Both engines read the same Parquet files.
 """
 
-import os
 import random
 
 import duckdb
