@@ -176,8 +176,8 @@ ASSIGNMENT_PATTERNS: dict[int, list[tuple[int, str | None]] | None] = {
     3: [(SPEC_A.test_id, GROUP_A), (SPEC_A.test_id, GROUP_A),
         (SPEC_B.test_id, GROUP_B), (SPEC_B.test_id, GROUP_B)],
     4: [(SPEC_A.test_id, None), (SPEC_B.test_id, "NULLID")],
-    5: [(SPEC_A.test_id, GROUP_A), (OTHER_TEST_ID, "1"), (SPEC_B.test_id, GROUP_B)],
-    6: [(SPEC_B.test_id, GROUP_B), (SPEC_A.test_id, f"{SPEC_A.test_group} + u % 3")],
+    5: [(SPEC_A.test_id, f"{SPEC_A.control_group} + u % 3"), (OTHER_TEST_ID, "1")],
+    6: [(SPEC_B.test_id, GROUP_B), (OTHER_TEST_ID, "1")],
 }
 
 EVENT_TYPES = {

@@ -7,13 +7,19 @@ production does: partition-pruned, narrow-schema Parquet scans. Each query runs
 once to warm up, then ``BENCH_REPEAT`` times; the best time counts. Results are
 executed in full through the ``noop`` sink (no collect to the driver).
 
+Also recorded per query: the cold (first) run, shuffle bytes written by the
+last timed run (from Spark's event log, written to the scratch folder) and the
+number of hash exchanges in its executed plan.
+
 Prints one JSON line.
 """
 
 from __future__ import annotations
 
+import glob
 import json
 import os
+import re
 import statistics
 import sys
 import tempfile
@@ -54,14 +60,48 @@ def materialize(spark, root: str) -> None:
         getattr(dims, name).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
-def run(df) -> None:
+def run(spark, df, label: str) -> None:
+    spark.sparkContext.setJobDescription(label)
     df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setJobDescription(None)
+
+
+def hash_exchanges(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"Exchange hashpartitioning", plan))
+
+
+def shuffle_bytes(event_dir: str) -> dict[str, int]:
+    """Shuffle bytes written per job description, from the event log."""
+    stage_label, written = {}, {}
+    for path in sorted(glob.glob(f"{event_dir}/**/events_*", recursive=True)):
+        with open(path) as fh:
+            for line in fh:
+                e = json.loads(line)
+                if e["Event"] == "SparkListenerJobStart":
+                    label = (e.get("Properties") or {}).get("spark.job.description")
+                    for sid in e["Stage IDs"]:
+                        stage_label[sid] = label
+                elif e["Event"] == "SparkListenerStageCompleted":
+                    info = e["Stage Info"]
+                    for acc in info.get("Accumulables", []):
+                        if acc.get("Name") == "internal.metrics.shuffle.write.bytesWritten":
+                            written[info["Stage ID"]] = int(acc["Value"])
+    out: dict[str, int] = {}
+    for sid, n in written.items():
+        label = stage_label.get(sid)
+        if label:
+            out[label] = out.get(label, 0) + n
+    return out
 
 
 def main() -> None:
-    spark = local_session(CPUS, shuffle_partitions=max(8, CPUS),
-                          extra={"spark.driver.memory": "16g"})
     root = tempfile.mkdtemp(prefix="adfunnel-bench-", dir="/tmp")
+    events = f"{root}/_eventlog"
+    os.makedirs(events)
+    spark = local_session(CPUS, shuffle_partitions=max(8, CPUS), extra={
+        "spark.driver.memory": "16g", "spark.eventLog.enabled": "true",
+        "spark.eventLog.dir": events, "spark.eventLog.compress": "false"})
     t0 = time.time()
     materialize(spark, root)
     setup = time.time() - t0
@@ -78,25 +118,32 @@ def main() -> None:
         "funnel_a": lambda: build_funnel(facts, SPEC_A),
         "per_auction_revenue_b": lambda: per_auction_revenue(facts.app_events, SPEC_B),
     }
-    times = {}
+    best, medians, cold, exchanges = {}, {}, {}, {}
     for name, make in queries.items():
-        run(make())  # warm-up
+        t = time.time()
+        run(spark, make(), f"{name}#cold")
+        cold[name] = round(time.time() - t, 3)
         samples = []
-        for _ in range(REPEAT):
+        for i in range(REPEAT):
             t = time.time()
-            run(make())
+            df = make()
+            run(spark, df, f"{name}#{i}")
             samples.append(time.time() - t)
-        times[name] = round(min(samples), 3)
-        times[name + "_median"] = round(statistics.median(samples), 3)
-    headline = {k: v for k, v in times.items() if not k.endswith("_median")}
+        exchanges[name] = hash_exchanges(df)
+        best[name] = round(min(samples), 3)
+        medians[name] = round(statistics.median(samples), 3)
+    version = spark.version
+    spark.stop()
+    written = shuffle_bytes(events)
+    last = f"#{REPEAT - 1}"
     print(json.dumps({
-        "metric": "total_headline_query_sec", "value": round(sum(headline.values()), 3),
-        "unit": "sec", "queries": headline, "medians": {k: v for k, v in times.items()
-                                                        if k.endswith("_median")},
+        "metric": "total_headline_query_sec", "value": round(sum(best.values()), 3),
+        "unit": "sec", "queries": best, "medians": medians, "cold": cold,
+        "shuffle_write_bytes": {n: written.get(n + last, 0) for n in queries},
+        "hash_exchanges": exchanges,
         "sf": _sf_value(SF_DIR), "cpus": CPUS, "setup_materialize_sec": round(setup, 3),
-        "spark": spark.version,
+        "spark": version,
     }))
-    spark.stop()
 
 
 if __name__ == "__main__":
