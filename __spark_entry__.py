@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adfunnel import (
-    SPEC_A, SPEC_B, app_event_rows, build_funnel, capped_revenue_rows, credited,
+    SPEC_A, SPEC_B, app_event_rows, build_funnel, capped_revenue_branch, capped_revenue_rows,
+    credited,
     experiment_report, explode_assignments, first_click, hour_range, per_auction_revenue,
     per_auction_totals,
 )
@@ -198,8 +199,7 @@ def q_per_auction_revenue(spark, sf):
 
 
 def q_capped_revenue(spark, sf):
-    totals = per_auction_totals(_facts(spark, sf).app_events, SPEC_A)
-    return _round(aggregate_branch(capped_revenue_rows(totals, SPEC_A), SPEC_A))
+    return _round(capped_revenue_branch(_facts(spark, sf).app_events, SPEC_A))
 
 
 def q_squared_capped_revenue(spark, sf):

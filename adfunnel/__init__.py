@@ -7,7 +7,8 @@ from adfunnel.operators.enrich import assert_unique, broadcast_if_bounded, enric
 from adfunnel.operators.expand import explode_assignments
 from adfunnel.operators.filters import credited, first_click, segment_filter, skan_compatible
 from adfunnel.operators.revenue import (
-    app_event_rows, capped_revenue_rows, per_auction_revenue, per_auction_totals,
+    app_event_rows, capped_revenue_branch, capped_revenue_rows, per_auction_revenue,
+    per_auction_totals,
 )
 from adfunnel.plans.funnel import build_funnel, funnel_rows
 from adfunnel.plans.report import experiment_report
@@ -17,7 +18,7 @@ from adfunnel.spec import SPEC_A, SPEC_B, Dims, ExperimentSpec, Facts
 
 __all__ = [
     "SPEC_A", "SPEC_B", "Dims", "ExperimentSpec", "Facts", "app_event_rows", "assert_unique",
-    "broadcast_if_bounded", "build_funnel", "capped_revenue_rows", "click_branch", "click_rows",
+    "broadcast_if_bounded", "build_funnel", "capped_revenue_branch", "capped_revenue_rows", "click_branch", "click_rows",
     "credited", "enrich", "experiment_report", "explode_assignments", "first_click",
     "funnel_rows", "hour_range", "impression_branch", "impression_rows", "install_branch",
     "install_rows", "per_auction_revenue", "per_auction_totals", "read_dims", "read_facts",

@@ -6,7 +6,7 @@ Flags are the strings ``'yes'``/``'no'``: a NULL comparison falls into ``'no'``
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Touch column prefixes of the app-event table.
@@ -85,6 +85,13 @@ def match_flag_columns(idfa: Column, platform_id: Column, match_type: Column,
     }
 
 
+def with_match_flags(df: DataFrame, idfa: Column, platform_id: Column, match_type: Column,
+                     bid_model: Column, device_model: Column) -> DataFrame:
+    """``df`` plus the six install-quality columns."""
+    return df.withColumns(match_flag_columns(idfa, platform_id, match_type, bid_model,
+                                             device_model))
+
+
 def strongly_matched() -> Column:
     """Installs confidently matched to the right device."""
     return ((F.col("match_type") == DETERMINISTIC) | (F.col("idfa_match") == "yes")

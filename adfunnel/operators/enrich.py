@@ -8,6 +8,7 @@ at run time from measured sizes).
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -61,6 +62,20 @@ def bounded(frames: list[DataFrame], max_rows: int) -> list[bool]:
     return [counts.get(i, 0) <= max_rows for i in range(len(frames))]
 
 
+# Bound-check results per dimension DataFrame. A DataFrame is an immutable plan over
+# a file listing fixed when it was read, so its row count cannot change; a new read
+# of the table is a new object and is checked again.
+_BOUNDED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _bounded_dims(dims: list[DataFrame], sides: list[DataFrame], max_rows: int) -> list[bool]:
+    todo = [i for i, d in enumerate(dims) if (max_rows not in _BOUNDED.get(d, {}))]
+    if todo:
+        for i, ok in zip(todo, bounded([sides[i] for i in todo], max_rows)):
+            _BOUNDED.setdefault(dims[i], {})[max_rows] = ok
+    return [_BOUNDED[d][max_rows] for d in dims]
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
     if max_rows is None:
         return df
@@ -82,11 +97,12 @@ def enrich(df: DataFrame, dims: Dims, spec: ExperimentSpec,
     columns leave each dimension scan.
     """
     joins = dim_joins(spec)
-    sides = [getattr(dims, j.dim).select(
-        *[F.col(d).alias(f"_{j.dim}_{d}") for _, d in j.on],
-        *[F.col(d).alias(out_name) for d, out_name in j.names]) for j in joins]
+    tables = [getattr(dims, j.dim) for j in joins]
+    sides = [t.select(*[F.col(d).alias(f"_{j.dim}_{d}") for _, d in j.on],
+                      *[F.col(d).alias(out_name) for d, out_name in j.names])
+             for t, j in zip(tables, joins)]
     if broadcast_rows is not None:
-        small = bounded(sides, broadcast_rows)
+        small = _bounded_dims(tables, sides, broadcast_rows)
         sides = [F.broadcast(side) if ok else side for side, ok in zip(sides, small)]
     out = df
     for j, side in zip(joins, sides):

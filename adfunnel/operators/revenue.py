@@ -22,7 +22,7 @@ from adfunnel.functions.attribution import (
 from adfunnel.functions.hours import hour_bucket
 from adfunnel.functions.money import capped, revenue_gate, squared_capped
 from adfunnel.operators.branches import (
-    canonical, event_measures, format_hours, funnel_keys,
+    aggregate_branch, canonical, event_measures, format_hours, funnel_keys,
 )
 from adfunnel.operators.expand import explode_assignments
 from adfunnel.operators.filters import credited, segment_condition, skan_compatible
@@ -138,3 +138,9 @@ def capped_revenue_rows(totals: DataFrame, spec: ExperimentSpec,
     if spec.carry_event_metrics:
         measures.update({m: F.col(m) for m in event_measures(spec)})
     return canonical(totals, spec, {}, measures, extra_keys)
+
+
+def capped_revenue_branch(app_events: DataFrame, spec: ExperimentSpec) -> DataFrame:
+    """The funnel's capped-revenue branch at the funnel grain (hours as ISO strings)."""
+    totals = per_auction_totals(app_events, spec)
+    return aggregate_branch(capped_revenue_rows(totals, spec), spec)

@@ -36,7 +36,7 @@ from adfunnel.streaming.hourly import hourly_report  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
-REPEAT = int(os.environ.get("BENCH_REPEAT", "2"))
+REPEAT = int(os.environ.get("BENCH_REPEAT", "3"))
 # One reference work unit: a single dt hour (mid-range of the test data).
 ONE_HOUR = "2024-01-15T12"
 DAY_START, DAY_END = "2024-01-15T00", "2024-01-16T00"

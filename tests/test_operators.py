@@ -47,3 +47,14 @@ def test_bounded_broadcast_and_unique(spark):
     assert_unique(dim, ["id"])
     with pytest.raises(ValueError):
         assert_unique(dim.unionByName(dim), ["id"])
+
+
+def test_with_match_flags_adds_quality_columns(spark):
+    from adfunnel.functions import with_match_flags
+    df = spark.createDataFrame([("A", "A", "DETERMINISTIC", "iPhone 12", "iPhone 12")],
+                               "i string, p string, t string, b string, m string")
+    out = with_match_flags(df, F.col("i"), F.col("p"), F.col("t"), F.col("b"), F.col("m"))
+    row = out.first()
+    assert (row.idfa_match, row.idfa_missing, row.match_type, row.normalized_device_model_match,
+            row.unknown_device_model) == ("yes", "no", "DETERMINISTIC", "yes", "no")
+    assert row.bidrequest_normalized_device_model == "iPhone 12"
