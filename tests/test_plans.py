@@ -107,3 +107,19 @@ def test_carry_event_metrics_opt_in(spark):
     assert got == want and got.target_events > 0
     default = experiment_report(facts, dims, SPEC_B).agg(F.sum("target_events")).first()[0]
     assert default == 0
+
+
+def test_capped_never_exceeds_uncapped(spark):
+    from adfunnel import capped_revenue_rows, per_auction_totals
+    facts = derive_facts(spark, SF_SMALL)
+    totals = per_auction_totals(facts.app_events, SPEC_B).withColumn(
+        "_rev", F.col("customer_revenue_micros"))
+    rows = capped_revenue_rows(totals, SPEC_B, extra_keys=("_rev",))
+    got = rows.select(F.col("_rev").alias("rev"),
+                      F.col("capped_customer_revenue_micros").alias("cap"))
+    assert got.count() == totals.count()
+    assert got.where(F.col("rev").isNotNull()).count() > 0
+    # capped <= uncapped and <= the cap; NULL exactly where revenue is NULL
+    assert got.where(F.col("cap") > F.col("rev")).count() == 0
+    assert got.where(F.col("cap") > SPEC_B.cap_micros).count() == 0
+    assert got.where(F.col("rev").isNull() != F.col("cap").isNull()).count() == 0
