@@ -20,17 +20,21 @@ INSTALL_FIRST = (INSTALL, REENG, ATTRIBUTION)
 ATTRIBUTION_FIRST = (ATTRIBUTION, REENG, INSTALL)
 INSTALL_OR_REENG = (INSTALL, REENG)
 
-# Advertising identifiers that mean "no identifier".
+# Literals the report's results depend on, as the report defines them.
 ZERO_IDFA = "00000000-0000-0000-0000-000000000000"
-BLANK_IDS = ("", ZERO_IDFA)
-
-# Creative size/format names and their report classes.
-VIDEO_FORMAT, NATIVE_FORMAT = "video", "native"
-BANNER_SIZES = ("320x50", "728x90")
-MREC_SIZE = "300x250"
-
+BLANK_IDS = ("", ZERO_IDFA)  # identifiers that mean "no identifier"
+YES, NO = "yes", "no"
 DETERMINISTIC, PROBABILISTIC = "DETERMINISTIC", "PROBABILISTIC"
-UNKNOWN_SUFFIX = "Unknown"
+UNKNOWN_SUFFIX = "Unknown"  # device model names ending in it are unknown models
+# creative format(s) -> report class, tested in this order; anything else, NULL included,
+# is OTHER_AD_FORMAT
+AD_FORMAT_CLASSES = (
+    (("video",), "VAST"),
+    (("native",), "native"),
+    (("320x50", "728x90"), "banner"),
+    (("300x250",), "mrec"),
+)
+OTHER_AD_FORMAT = "html-interstitial"
 
 
 def touch_coalesce(suffix: str, order: tuple[str, ...]) -> Column:
@@ -39,18 +43,16 @@ def touch_coalesce(suffix: str, order: tuple[str, ...]) -> Column:
 
 
 def yes_no(cond: Column) -> Column:
-    return F.when(cond, F.lit("yes")).otherwise(F.lit("no"))
+    return F.when(cond, F.lit(YES)).otherwise(F.lit(NO))
 
 
 def ad_format_class(fmt: Column) -> Column:
-    """Report class of a creative format; anything unlisted, NULL included, is interstitial."""
-    return (
-        F.when(fmt == VIDEO_FORMAT, F.lit("VAST"))
-        .when(fmt == NATIVE_FORMAT, F.lit("native"))
-        .when(fmt.isin(*BANNER_SIZES), F.lit("banner"))
-        .when(fmt == MREC_SIZE, F.lit("mrec"))
-        .otherwise(F.lit("html-interstitial"))
-    )
+    """Report class of a creative format (first matching entry of AD_FORMAT_CLASSES)."""
+    out = None
+    for formats, cls in AD_FORMAT_CLASSES:
+        test = fmt == formats[0] if len(formats) == 1 else fmt.isin(*formats)
+        out = F.when(test, F.lit(cls)) if out is None else out.when(test, F.lit(cls))
+    return out.otherwise(F.lit(OTHER_AD_FORMAT))
 
 
 def idfa_match(idfa: Column, platform_id: Column) -> Column:
@@ -94,24 +96,24 @@ def with_match_flags(df: DataFrame, idfa: Column, platform_id: Column, match_typ
 
 def strongly_matched() -> Column:
     """Installs confidently matched to the right device."""
-    return ((F.col("match_type") == DETERMINISTIC) | (F.col("idfa_match") == "yes")
-            | ((F.col("normalized_device_model_match") == "yes")
-               & (F.col("unknown_device_model") == "no")))
+    return ((F.col("match_type") == DETERMINISTIC) | (F.col("idfa_match") == YES)
+            | ((F.col("normalized_device_model_match") == YES)
+               & (F.col("unknown_device_model") == NO)))
 
 
 def _probabilistic_or_missing() -> Column:
-    return (F.col("match_type") == PROBABILISTIC) | (F.col("idfa_missing") == "yes")
+    return (F.col("match_type") == PROBABILISTIC) | (F.col("idfa_missing") == YES)
 
 
 def misattributed() -> Column:
     """Probabilistic (or id-less) matches whose device model contradicts the install."""
-    return (_probabilistic_or_missing() & (F.col("normalized_device_model_match") != "yes")
-            & (F.col("unknown_device_model") != "yes"))
+    return (_probabilistic_or_missing() & (F.col("normalized_device_model_match") != YES)
+            & (F.col("unknown_device_model") != YES))
 
 
 def possibly_misattributed() -> Column:
     """Probabilistic (or id-less) matches that cannot be checked: device model unknown."""
-    return _probabilistic_or_missing() & (F.col("unknown_device_model") == "yes")
+    return _probabilistic_or_missing() & (F.col("unknown_device_model") == YES)
 
 
 QUALITY_CONDITIONS = {

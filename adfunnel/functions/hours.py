@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
+# Report hour stamp (YYYY-MM-DDTHH:00:00Z) and dt partition (YYYY-MM-DDTHH) formats.
 ISO_HOUR = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 DT_FORMAT = "%Y-%m-%dT%H"
 

@@ -29,6 +29,7 @@ HOUR_BUCKETS = {"impression_h": "impression_at", "click_h": "click_at",
 QUALITY_COLUMNS = ("idfa_match", "idfa_missing", "match_type",
                    "bidrequest_normalized_device_model", "normalized_device_model_match",
                    "unknown_device_model")
+# The marker for columns a branch does not have.
 NOT_APPLICABLE = "N/A"
 
 

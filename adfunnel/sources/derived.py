@@ -27,7 +27,8 @@ from adfunnel.spec import SPEC_A, SPEC_B, Dims, Facts
 
 TOUCHES = (INSTALL, REENG, ATTRIBUTION)
 
-# Value lists the derivation cycles through.
+# Value lists the derivation cycles through (our own test values; the zero identifier,
+# match types and creative formats are the report's fixed values, to reach its cases).
 IDS = (None, "", ZERO_IDFA, "A1B2-0001", "A1B2-0002")
 MODELS = (None, "", "iPhone 12", "iPhone Unknown", "iPad 9")
 MATCH_TYPES = (None, "DETERMINISTIC", "PROBABILISTIC", "N/A", "FUZZY")

@@ -21,6 +21,8 @@ class ExperimentSpec:
     by_campaign: bool = False  # adds campaign_id + campaign dimension
     first_events: bool = False  # adds target_events_first
     d7: bool = False  # adds the seven-day cohort sums
+    # The report's segment, revenue cap ($500), outlier bound ($100,000)
+    # and cohort length.
     platform: str = "IOS"
     ad_group_type: str = "user-acquisition"
     excluded_tracker: str = "SKAN"
