@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from adfunnel import SPEC_A, experiment_report
 from adfunnel.sources.derived import derive_dims, derive_facts
-from adfunnel.streaming import catch_up, written_hours
+from adfunnel.streaming import catch_up, report_for_hour, report_template, written_hours
 
 from conftest import SF_SMALL  # noqa: E402
 
@@ -25,3 +25,20 @@ def test_catch_up_writes_each_pending_hour_once(spark, tmp_path):
     direct = experiment_report(facts, dims, SPEC_A, hour)
     assert written.count() == direct.count()
     assert written.select(direct.columns).exceptAll(direct).count() == 0
+
+
+def test_template_hour_equals_direct_run_and_prunes(spark):
+    facts, dims = derive_facts(spark, SF_SMALL), derive_dims(spark, SF_SMALL)
+    template = report_template(facts, dims, SPEC_A)
+    for hour in ("2024-01-02T05", "2024-01-03T17"):
+        a = report_for_hour(template, hour)
+        b = experiment_report(facts, dims, SPEC_A, hour)
+        assert a.columns == b.columns
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    plan = a.sparkSession._jvm.PythonSQLUtils.explainString(a._jdf.queryExecution(), "extended")
+    optimized = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    # the hour predicate is pushed onto each of the five fact sources, below the generators
+    # (derived facts: onto the events scan feeding each of them)
+    pushed = [line for line in optimized.splitlines()
+              if "Filter" in line and "= 2024-01-03T17" in line]
+    assert len(pushed) >= 5, optimized
