@@ -123,3 +123,15 @@ def test_capped_never_exceeds_uncapped(spark):
     assert got.where(F.col("cap") > F.col("rev")).count() == 0
     assert got.where(F.col("cap") > SPEC_B.cap_micros).count() == 0
     assert got.where(F.col("rev").isNull() != F.col("cap").isNull()).count() == 0
+
+
+def test_command_line_run_writes_the_hour(spark, lake, tmp_path):
+    from adfunnel.run import main
+    sink = str(tmp_path / "cli")
+    main(["--spec", "B", "--dt", START, "--end", END, "--facts", lake, "--dims", lake,
+          "--sink", sink])
+    written = spark.read.parquet(sink)
+    direct = experiment_report(read_facts(spark, lake), read_dims(spark, lake), SPEC_B, START,
+                               END, per_hour=True)
+    assert written.count() == direct.count() > 0
+    assert written.select(direct.columns).exceptAll(direct).count() == 0
