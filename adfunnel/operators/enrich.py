@@ -111,5 +111,6 @@ def enrich(df: DataFrame, dims: Dims, spec: ExperimentSpec,
         for fact_col, dim_col in j.on:
             eq = out[fact_col] == side[tag + dim_col]
             cond = eq if cond is None else cond & eq
-        out = out.join(side, cond, "left").drop(*[tag + d for _, d in j.on])
-    return out
+        out = out.join(side, cond, "left")
+    # the dimensions' join keys go in one projection at the end
+    return out.select(*df.columns, *name_columns(spec))

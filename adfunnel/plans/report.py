@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from adfunnel.functions.attribution import QUALITY_CONDITIONS
 from adfunnel.functions.hours import within_days
 from adfunnel.functions.money import to_dollars
-from adfunnel.operators.branches import event_measures, format_hours
+from adfunnel.functions.hours import iso_from_bucket
+from adfunnel.operators.branches import HOUR_BUCKETS, event_measures
 from adfunnel.operators.enrich import DEFAULT_BROADCAST_ROWS, enrich, name_columns
 from adfunnel.plans.funnel import funnel_rows
 from adfunnel.spec import Dims, ExperimentSpec, Facts
@@ -101,9 +102,8 @@ def report_row_measures(spec: ExperimentSpec) -> dict[str, Column]:
 def aggregate_report(rows: DataFrame, spec: ExperimentSpec, per_hour: bool = False) -> DataFrame:
     """Report sums by id keys (no names yet), hours still buckets, d7 in micros."""
     keys = report_keys(spec, per_hour)
-    measures = report_row_measures(spec)
-    projected = rows.select(*keys, *[v.alias(k) for k, v in measures.items()])
-    return projected.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in measures])
+    return rows.groupBy(*keys).agg(*[F.sum(v).alias(k)
+                                     for k, v in report_row_measures(spec).items()])
 
 
 def experiment_report(facts: Facts, dims: Dims, spec: ExperimentSpec,
@@ -124,10 +124,11 @@ def experiment_report(facts: Facts, dims: Dims, spec: ExperimentSpec,
     # reference's join-then-group does. The join keeps the partitioning on the id
     # keys, a subset of these keys, so no exchange is added.
     keys = report_keys(spec, per_hour) + name_columns(spec)
-    measures = [m for m in by_ids.columns if m not in report_keys(spec, per_hour)]
+    measures = list(report_row_measures(spec))
     regrouped = named.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
-    out = format_hours(regrouped)
-    for name, (_, dollars) in _D7_SOURCES.items():
-        if dollars and name in out.columns:
-            out = out.withColumn(name, to_dollars(F.col(name)))
-    return out.select(*output_columns(spec, per_hour))
+    # one final projection: ISO hour strings, cohort micros to dollars, output order
+    finals = {out: iso_from_bucket(F.col(bucket)) for bucket, out in HOUR_BUCKETS.items()}
+    finals.update({name: to_dollars(F.col(name)) for name, (_, dollars) in _D7_SOURCES.items()
+                   if dollars and name in measures})
+    return regrouped.select(*[finals.get(c, F.col(c)).alias(c)
+                              for c in output_columns(spec, per_hour)])
