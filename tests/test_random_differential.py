@@ -85,16 +85,27 @@ def lake(spark, tmp_path_factory):
         "ab_test_groups": [(2373, "control A"), (2412, "control B"), (2413, "test B")],
         "campaigns": [(1, "c1", "LEARNING")],
     }
+    # repeated ids: the same name twice (sums double) and a second name (a second row)
+    repeated = {
+        "customers": [(1, "Acme"), (1, "Acme"), (1, "Acme Inc"), (3, "Other")],
+        "apps": [(10, 1, "Game", "Gold"), (10, 1, "Game", "Gold"), (11, 2, "Puzzle", None)],
+        "ab_test_groups": [(2373, "control A"), (2412, "control B"), (2412, "ctl B"),
+                           (2413, "test B")],
+        "campaigns": [(1, "c1", "LEARNING"), (1, "c1", "LEARNING")],
+    }
     for name, rows in dims.items():
         spark.createDataFrame(rows, DIM_SCHEMAS[name]).write.parquet(f"{root}/{name}")
+        spark.createDataFrame(repeated[name], DIM_SCHEMAS[name]).write.parquet(
+            f"{root}/repeated/{name}")
     return root
 
 
 @pytest.mark.parametrize("spec", [SPEC_A, SPEC_B], ids=["A", "B"])
-@pytest.mark.parametrize("per_hour", [False, True], ids=["range", "hourly"])
-def test_random_facts_match_oracle(spark, lake, spec, per_hour):
+@pytest.mark.parametrize("per_hour,dim_dir", [(False, ""), (True, ""), (False, "repeated/")],
+                         ids=["range", "hourly", "repeated-dim-ids"])
+def test_random_facts_match_oracle(spark, lake, spec, per_hour, dim_dir):
     facts = Facts(**{n: spark.read.parquet(f"{lake}/{n}") for n in FACT_SCHEMAS})
-    dims = Dims(**{n: spark.read.parquet(f"{lake}/{n}") for n in DIM_SCHEMAS})
+    dims = Dims(**{n: spark.read.parquet(f"{lake}/{dim_dir}{n}") for n in DIM_SCHEMAS})
     got = experiment_report(facts, dims, spec, per_hour=per_hour)
     doubles = [f.name for f in got.schema.fields if isinstance(f.dataType, T.DoubleType)]
     got = got.select(*[F.round(c, 4).alias(c) if c in doubles else F.col(c)
@@ -109,8 +120,11 @@ def test_random_facts_match_oracle(spark, lake, spec, per_hour):
     assert any(r.possibly_misattributed_installs for r in collected)
 
     con = duckdb.connect()
-    for n in list(FACT_SCHEMAS) + list(DIM_SCHEMAS):
+    for n in FACT_SCHEMAS:
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{lake}/{n}/*.parquet')")
+    for n in DIM_SCHEMAS:
+        con.execute(f"CREATE VIEW {n} AS SELECT * FROM "
+                    f"read_parquet('{lake}/{dim_dir}{n}/*.parquet')")
     r = ReportSQL(spec, per_hour=per_hour)
     sql = f"WITH {r.ctes()} {r.report()}"
     sql = f"SELECT * REPLACE ({', '.join(f'round({c}, 4) AS {c}' for c in doubles)}) FROM ({sql})"
