@@ -18,7 +18,8 @@ from adfunnel.spec import SPEC_A, SPEC_B, Dims, ExperimentSpec, Facts
 
 __all__ = [
     "SPEC_A", "SPEC_B", "Dims", "ExperimentSpec", "Facts", "app_event_rows", "assert_unique",
-    "broadcast_if_bounded", "build_funnel", "capped_revenue_branch", "capped_revenue_rows", "click_branch", "click_rows",
+    "broadcast_if_bounded", "build_funnel", "capped_revenue_branch", "capped_revenue_rows",
+    "click_branch", "click_rows",
     "credited", "enrich", "experiment_report", "explode_assignments", "first_click",
     "funnel_rows", "hour_range", "impression_branch", "impression_rows", "install_branch",
     "install_rows", "per_auction_revenue", "per_auction_totals", "read_dims", "read_facts",

@@ -31,17 +31,14 @@ from adfunnel.spec import ExperimentSpec
 BID = "impression__bid__"
 
 
-def touch(suffix: str, order: tuple[str, ...]) -> Column:
-    return touch_coalesce(suffix, order)
-
-
 def event_filter(spec: ExperimentSpec) -> Column:
     """Segment and SKAN filters of app events, each column with its own touch order."""
-    return (segment_condition(touch(BID + "campaign_tracker_type", INSTALL_FIRST),
-                              touch(BID + "ad_group_type", ATTRIBUTION_FIRST),
-                              touch(BID + "app_platform", ATTRIBUTION_FIRST), spec)
+    return (segment_condition(touch_coalesce(BID + "campaign_tracker_type", INSTALL_FIRST),
+                              touch_coalesce(BID + "ad_group_type", ATTRIBUTION_FIRST),
+                              touch_coalesce(BID + "app_platform", ATTRIBUTION_FIRST), spec)
             & skan_compatible(F.col("skan_params__version"),
-                              touch(BID + "sk_ad_network_response__version", ATTRIBUTION_FIRST)))
+                              touch_coalesce(BID + "sk_ad_network_response__version",
+                                             ATTRIBUTION_FIRST)))
 
 
 def event_key_columns(spec: ExperimentSpec) -> dict[str, Column]:
@@ -53,30 +50,31 @@ def event_key_columns(spec: ExperimentSpec) -> dict[str, Column]:
         F.col(INSTALL + BID + "bid_request__device__model_data__name"),
         F.col("pod_device_model"))
     keys = {
-        "impression_h": hour_bucket(touch("impression__at", ATTRIBUTION_FIRST)),
-        "click_h": hour_bucket(touch("at", ATTRIBUTION_FIRST)),
+        "impression_h": hour_bucket(touch_coalesce("impression__at", ATTRIBUTION_FIRST)),
+        "click_h": hour_bucket(touch_coalesce("at", ATTRIBUTION_FIRST)),
         "install_h": hour_bucket(F.col("install__at")),
         "at_h": hour_bucket(F.col("event_timestamp")),
-        "customer_id": touch(BID + "customer_id", INSTALL_FIRST),
-        "dest_app_id": touch(BID + "app_id", INSTALL_FIRST),
-        "non_personalized": touch(BID + "bid_request__non_personalized", INSTALL_FIRST)
+        "customer_id": touch_coalesce(BID + "customer_id", INSTALL_FIRST),
+        "dest_app_id": touch_coalesce(BID + "app_id", INSTALL_FIRST),
+        "non_personalized": touch_coalesce(BID + "bid_request__non_personalized", INSTALL_FIRST)
         .cast("string"),
         "is_viewthrough": F.col("is_viewthrough").cast("string"),
-        "device_family": touch(BID + "bid_request__device__family", ATTRIBUTION_FIRST),
-        "ad_format": ad_format_class(touch(BID + "creative__ad_format", INSTALL_FIRST)),
-        "creative_type": touch(BID + "creative__type", ATTRIBUTION_FIRST),
+        "device_family": touch_coalesce(BID + "bid_request__device__family", ATTRIBUTION_FIRST),
+        "ad_format": ad_format_class(touch_coalesce(BID + "creative__ad_format", INSTALL_FIRST)),
+        "creative_type": touch_coalesce(BID + "creative__type", ATTRIBUTION_FIRST),
         **flags,
-        "MMPs": touch(BID + "campaign_tracker", INSTALL_FIRST),
+        "MMPs": touch_coalesce(BID + "campaign_tracker", INSTALL_FIRST),
     }
     if spec.by_campaign:
-        keys["campaign_id"] = touch(BID + "campaign_id", ATTRIBUTION_FIRST)
+        keys["campaign_id"] = touch_coalesce(BID + "campaign_id", ATTRIBUTION_FIRST)
     return keys
 
 
 def event_measure_columns(spec: ExperimentSpec) -> dict[str, Column]:
     """Per-event target-event flags and gated revenue."""
     reporting = F.col("for_reporting")
-    target = F.col("custom_event_id") == touch(BID + "campaign_target_event_id", INSTALL_OR_REENG)
+    target_event = touch_coalesce(BID + "campaign_target_event_id", INSTALL_OR_REENG)
+    target = F.col("custom_event_id") == target_event
     revenue = F.col("customer_revenue_micros")
     out = {"target_events": F.when(reporting & target, 1).otherwise(0)}
     if spec.first_events:
@@ -97,11 +95,11 @@ def app_event_rows(app_events: DataFrame, spec: ExperimentSpec,
     hides the re-engagement one even when it lacks the test.
     """
     kept = credited(app_events).where(event_filter(spec))
-    rows = explode_assignments(kept, touch(BID + "bid_request__ab_test_assignments",
+    rows = explode_assignments(kept, touch_coalesce(BID + "bid_request__ab_test_assignments",
                                            INSTALL_OR_REENG), spec.test_id)
     keys = event_key_columns(spec)
     cols = [F.col(c) for c in extra_keys]
-    cols.append(touch("impression__auction_id", INSTALL_FIRST).alias("auction_id"))
+    cols.append(touch_coalesce("impression__auction_id", INSTALL_FIRST).alias("auction_id"))
     cols += [(keys[k] if k in keys else F.col(k)).alias(k) for k in funnel_keys(spec)]
     cols += [v.cast("long").alias(k) for k, v in event_measure_columns(spec).items()]
     return rows.select(*cols)

@@ -82,7 +82,8 @@ def bid_rules(prefix: str, t: int = 0, *, gate: str | None = None, campaign: boo
         ("campaign_tracker", pick(TRACKERS, f"e {{div}} 5 + {t}")),
         ("campaign_tracker_type",
          f"CASE (e + {t}) % 17 WHEN 0 THEN 'SKAN' WHEN 1 THEN NULL ELSE 'MMP' END"),
-        ("app_platform", f"CASE (e + {t}) % 19 WHEN 0 THEN 'ANDROID' WHEN 1 THEN NULL ELSE 'IOS' END"),
+        ("app_platform",
+         f"CASE (e + {t}) % 19 WHEN 0 THEN 'ANDROID' WHEN 1 THEN NULL ELSE 'IOS' END"),
         ("ad_group_type",
          f"CASE (e + {t}) % 23 WHEN 0 THEN 'retargeting' WHEN 1 THEN NULL "
          f"ELSE 'user-acquisition' END"),
@@ -149,7 +150,8 @@ for _t, _touch in enumerate(TOUCHES):
         (_touch + "at", _gate(_g, f"ms - (e % 30 + {1 + 7 * _t}) * 60000")),
         (_touch + "impression__at", _gate(_g, f"ms - (e % 30 + e % 50 + {2 + 7 * _t}) * 60000")),
         (_touch + "impression__auction_id",
-         _gate(_g, f"CASE WHEN e % 13 = 0 THEN NULL ELSE 'auc-' || CAST(u % 5 + {10 * _t} AS STRING) END")),
+         _gate(_g, "CASE WHEN e % 13 = 0 THEN NULL "
+                   f"ELSE 'auc-' || CAST(u % 5 + {10 * _t} AS STRING) END")),
     ] + bid_rules(_touch + "impression__bid__", _t, gate=_g, device_ids=_t == 0,
                   target_event=_t < 2)
 FACT_RULES["app_events"] = _app_rules
@@ -167,7 +169,8 @@ ASSIGNMENT_RULES: dict[str, list[tuple[str, str, str | None]]] = {
 ASSIGNMENT_RULES["view_clicks"] = ASSIGNMENT_RULES["ad_clicks"]
 
 # Assignment patterns, by pattern number: list of (test id, group id SQL or None).
-# 0 -> NULL array, 1 -> empty array; None group -> NULL group struct; "NULLID" -> group with NULL id.
+# 0 -> NULL array, 1 -> empty array; None group -> NULL group struct;
+# "NULLID" -> group with NULL id.
 GROUP_A = f"{SPEC_A.control_group} + u % 2"
 GROUP_B = f"{SPEC_B.control_group} + u % 2"
 ASSIGNMENT_PATTERNS: dict[int, list[tuple[int, str | None]] | None] = {

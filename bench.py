@@ -27,7 +27,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from adfunnel import SPEC_A, SPEC_B, build_funnel, experiment_report, per_auction_revenue  # noqa: E402
+from adfunnel import (  # noqa: E402
+    SPEC_A, SPEC_B, build_funnel, experiment_report, per_auction_revenue,
+)
 from adfunnel.functions.hours import dt_add  # noqa: E402
 from adfunnel.session import local_session  # noqa: E402
 from adfunnel.sources.derived import derive_dims, derive_facts  # noqa: E402
