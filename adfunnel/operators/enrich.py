@@ -98,6 +98,9 @@ def enrich(df: DataFrame, dims: Dims, spec: ExperimentSpec,
     """
     joins = dim_joins(spec)
     tables = [getattr(dims, j.dim) for j in joins]
+    missing = [j.dim for j, t in zip(joins, tables) if t is None]
+    if missing:
+        raise ValueError(f"this report needs the {', '.join(missing)} dimension(s)")
     sides = [t.select(*[F.col(d).alias(f"_{j.dim}_{d}") for _, d in j.on],
                       *[F.col(d).alias(out_name) for d, out_name in j.names])
              for t, j in zip(tables, joins)]

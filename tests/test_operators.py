@@ -58,3 +58,12 @@ def test_with_match_flags_adds_quality_columns(spark):
     assert (row.idfa_match, row.idfa_missing, row.match_type, row.normalized_device_model_match,
             row.unknown_device_model) == ("yes", "no", "DETERMINISTIC", "yes", "no")
     assert row.bidrequest_normalized_device_model == "iPhone 12"
+
+
+def test_enrich_names_a_missing_dimension(spark):
+    from adfunnel import SPEC_B, Dims
+    from adfunnel.operators.enrich import enrich
+    dim = spark.createDataFrame([(1, "x")], "id long, name string")
+    dims = Dims(customers=dim, apps=dim, ab_test_groups=dim)
+    with pytest.raises(ValueError, match="campaigns"):
+        enrich(spark.createDataFrame([(1,)], "customer_id long"), dims, SPEC_B)
