@@ -161,3 +161,27 @@ def test_capped_revenue_and_cohort(report):
     assert r6["squared_capped_customer_revenue"] == pytest.approx(490000.0)
     assert r6["capped_customer_revenue_d7"] == 0.0
     assert r6["squared_capped_customer_revenue_d7"] == 0.0
+
+
+def test_output_columns_in_report_order():
+    from adfunnel import SPEC_A
+    from adfunnel.plans.report import output_columns
+    head_a = ["impression_at", "click_at", "install_at", "ab_test_group_id", "test_group_name",
+              "customer_id", "dest_app_id", "non_personalized", "is_viewthrough", "ad_format",
+              "creative_type", "device_family", "MMPs", "customer_name", "dest_app_name",
+              "account_level"]
+    measures_a = ["impressions", "spend_micros", "revenue_micros", "clicks", "installs",
+                  "unreported_installs", "target_events", "unreported_target_events",
+                  "customer_revenue_micros", "unreported_customer_revenue_micros",
+                  "capped_customer_revenue_micros", "squared_capped_customer_revenue",
+                  "strongly_matched_installs", "misattributed_installs",
+                  "possibly_misattributed_installs"]
+    assert output_columns(SPEC_A) == head_a + measures_a
+    head_b = head_a[:13] + ["campaign_id"] + head_a[13:] + ["current_optimization_state",
+                                                           "campaign_name"]
+    measures_b = (measures_a[:7] + ["target_events_first"] + measures_a[7:12]
+                  + ["customer_revenue_d7", "target_events_d7", "target_events_first_d7",
+                     "capped_customer_revenue_d7", "squared_capped_customer_revenue_d7"]
+                  + measures_a[12:])
+    assert output_columns(SPEC_B) == head_b + measures_b
+    assert output_columns(SPEC_B, per_hour=True) == ["dt"] + head_b + measures_b
