@@ -64,10 +64,11 @@ def canonical(df: DataFrame, spec: ExperimentSpec, keys: dict[str, Column],
     for name in funnel_keys(spec, extra_keys):
         cols.append((keys[name] if name in keys else F.col(name)).alias(name))
     for name in funnel_measures(spec):
-        zero = F.lit(0.0) if name == "squared_capped_customer_revenue" else F.lit(0).cast("long")
-        value = measures.get(name, zero)
-        cols.append(value.cast("double" if name == "squared_capped_customer_revenue" else "long")
-                    .alias(name))
+        dtype = "double" if name == "squared_capped_customer_revenue" else "long"
+        if name in measures:
+            cols.append(measures[name].cast(dtype).alias(name))
+        else:
+            cols.append(F.lit(0).cast(dtype).alias(name))
     return df.select(*cols)
 
 

@@ -67,6 +67,8 @@ def _gate(cond: str | None, expr: str) -> str:
 
 
 CENTS = "CAST(round(v * 100) AS BIGINT)"
+# Late events: logged one hour after they happened, so their event hour precedes dt.
+EVENT_MS = "CASE WHEN e % 17 = 3 THEN ms - 3600000 ELSE ms END"
 
 
 def bid_rules(prefix: str, t: int = 0, *, gate: str | None = None, campaign: bool = True,
@@ -112,7 +114,7 @@ FACT_RULES: dict[str, list[tuple[str, str]]] = {
         ("has_prior_click", pick((False, True, False, None), "e {div} 2")),
     ] + bid_rules("impression__bid__"),
     "installs": [
-        ("dt", "dt"), ("event_timestamp", "ms"),
+        ("dt", "dt"), ("event_timestamp", EVENT_MS),
         ("ad_click__at", "ms - (e % 30 + 1) * 60000"),
         ("ad_click__impression__at", "ms - (e % 30 + e % 50 + 2) * 60000"),
         ("is_viewthrough", pick((False, True, None), "e {div} 4")),
@@ -127,7 +129,7 @@ FACT_RULES: dict[str, list[tuple[str, str]]] = {
 FACT_RULES["view_clicks"] = FACT_RULES["ad_clicks"]
 
 _app_rules = [
-    ("dt", "dt"), ("event_timestamp", "ms"),
+    ("dt", "dt"), ("event_timestamp", EVENT_MS),
     ("install__at", f"CASE WHEN e % 11 = 0 OR NOT {_populated(0)} THEN NULL "
                     f"ELSE ms - (e % 240) * 3600000 END"),
     ("install__tracker_params__idfa", _gate(_populated(0), pick(IDS, "e"))),
