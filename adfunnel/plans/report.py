@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adfunnel.functions.attribution import QUALITY_CONDITIONS
-from adfunnel.functions.hours import within_days
+from adfunnel.functions.hours import iso_from_bucket, within_days
 from adfunnel.functions.money import to_dollars
-from adfunnel.functions.hours import iso_from_bucket
 from adfunnel.operators.branches import HOUR_BUCKETS, event_measures
 from adfunnel.operators.enrich import DEFAULT_BROADCAST_ROWS, enrich, name_columns
 from adfunnel.plans.funnel import funnel_rows
@@ -64,7 +63,7 @@ def d7_names(spec: ExperimentSpec) -> list[str]:
 
 
 # Cohort sums kept in integer micros until the end (exact, order independent),
-# then turned into dollars: (sum column, source measure, to dollars).
+# then turned into dollars: cohort column -> (source measure, convert to dollars).
 _D7_SOURCES = {
     "customer_revenue_d7": ("customer_revenue_micros", True),
     "target_events_d7": ("target_events", False),
