@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 
 def write_hours(df: DataFrame, path: str, dt_col: str = "dt", fmt: str = "parquet") -> None:
-    """Write a report carrying a ``dt`` column, replacing only its hours."""
-    (df.repartition(dt_col)  # one writer per hour: no small-file explosion
+    """Write a report carrying a ``dt`` column, replacing only its hours.
+
+    The ``rebalance`` hint clusters rows by hour (few files per hour) while letting
+    AQE split an oversized hour over several writers and merge small ones, so a hot
+    hour never lands in a single task.
+    """
+    (df.hint("rebalance", dt_col)
        .write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic")
        .partitionBy(dt_col)
