@@ -271,6 +271,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d7_cohort": q_d7_cohort,
         "dim_enrichment": q_dim_enrichment,
         "funnel_union": q_funnel_union,
+        "campaign_funnel_union": lambda spark, sf: _round(build_funnel(_facts(spark, sf), SPEC_B)),
         "experiment_report": _report(SPEC_A),
         "campaign_experiment_report": _report(SPEC_B),
         "hourly_experiment_report": _report(SPEC_B, per_hour=True),
@@ -416,6 +417,7 @@ def oracle_sql() -> dict[str, str]:
             "LEFT JOIN ab_test_groups g ON f.ab_test_group_id = g.id "
             "LEFT JOIN campaigns k ON f.campaign_id = k.id")),
         "funnel_union": _with(ra.ctes(), select=_rounded("SELECT * FROM funnel", sq)),
+        "campaign_funnel_union": _with(rb.ctes(), select=_rounded("SELECT * FROM funnel", sq)),
         "experiment_report": _report_sql(SPEC_A),
         "campaign_experiment_report": _report_sql(SPEC_B),
         "hourly_experiment_report": _report_sql(SPEC_B, per_hour=True),
