@@ -30,3 +30,15 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert "capped_customer_revenue_d7" in df.columns
+
+
+@pytest.mark.parametrize("name", ["hour_iso", "hour_range_scan", "d7_cohort",
+                                  "hourly_experiment_report"])
+def test_results_ignore_session_time_zone(spark, con, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        r = compare(spark, name, entry.queries()[name], SQL[name], SF_SMALL, con)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert r["count"] and r["cols"] and r["hash"]
