@@ -67,3 +67,17 @@ def test_enrich_names_a_missing_dimension(spark):
     dims = Dims(customers=dim, apps=dim, ab_test_groups=dim)
     with pytest.raises(ValueError, match="campaigns"):
         enrich(spark.createDataFrame([(1,)], "customer_id long"), dims, SPEC_B)
+
+
+def test_duplicate_free_assignments_do_not_fan_out(spark):
+    from adfunnel import SPEC_A
+    from adfunnel.sources.derived import derive_facts
+    from conftest import SF_SMALL
+    imp = derive_facts(spark, SF_SMALL).impressions
+    arr = F.col("bid__bid_request__ab_test_assignments")
+    hits = F.size(F.filter(arr, lambda a: a["id"] == SPEC_A.test_id))
+    once = imp.where(hits == 1)
+    assert once.count() > 0
+    assert explode_assignments(once, arr, SPEC_A.test_id).count() == once.count()
+    twice = imp.where(hits == 2)
+    assert explode_assignments(twice, arr, SPEC_A.test_id).count() == 2 * twice.count()
