@@ -42,3 +42,21 @@ def test_template_hour_equals_direct_run_and_prunes(spark):
     pushed = [line for line in optimized.splitlines()
               if "Filter" in line and "= 2024-01-03T17" in line]
     assert len(pushed) >= 5, optimized
+
+
+def test_catch_up_after_crash_between_write_and_log(spark, tmp_path):
+    from adfunnel.streaming import run_hours
+    sink = str(tmp_path / "crashed")
+    facts, dims = derive_facts(spark, SF_SMALL), derive_dims(spark, SF_SMALL)
+    start, end = "2024-01-04T00", "2024-01-04T12"
+    # a run that wrote its report hours but died before logging them
+    run_hours(facts, dims, SPEC_A, start, end, sink)
+    assert written_hours(spark, sink) == set()
+    before = spark.read.parquet(sink).count()
+    redone = catch_up(spark, facts, dims, SPEC_A, start, end, sink)
+    assert redone and written_hours(spark, sink) == set(redone)
+    after = spark.read.parquet(sink)
+    assert after.count() == before  # rewritten in place, not appended
+    direct = experiment_report(facts, dims, SPEC_A, start, end, per_hour=True)
+    assert after.select(direct.columns).exceptAll(direct).count() == 0
+    assert direct.exceptAll(after.select(direct.columns)).count() == 0
