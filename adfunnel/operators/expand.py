@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def assignment_groups(arr: Column, test_id: int) -> Column:
+    """Group ids of ``arr``'s assignments to ``test_id``, duplicates kept; NULL for a
+    NULL array. ``F.explode`` of it is the per-test expansion."""
+    return F.transform(F.filter(arr, lambda a: a["id"] == F.lit(test_id)),
+                       lambda a: a["group"]["id"])
+
+
 def explode_assignments(df: DataFrame, arr: Column, test_id: int | None = None,
                         group_col: str = "ab_test_group_id",
                         test_col: str = "ab_test_id") -> DataFrame:
@@ -18,9 +25,7 @@ def explode_assignments(df: DataFrame, arr: Column, test_id: int | None = None,
     ``group_col``.
     """
     if test_id is not None:
-        groups = F.transform(F.filter(arr, lambda a: a["id"] == F.lit(test_id)),
-                             lambda a: a["group"]["id"])
-        return df.withColumn(group_col, F.explode(groups))
+        return df.withColumn(group_col, F.explode(assignment_groups(arr, test_id)))
     return (df.withColumn("_assignment", F.explode(arr))
               .withColumn(test_col, F.col("_assignment")["id"])
               .withColumn(group_col, F.col("_assignment")["group"]["id"])
