@@ -9,17 +9,24 @@ at most 4 decimals and only summation order could otherwise differ.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+# The package and the oracle live next to this file; make them importable however
+# this module is loaded (by path or by name). No Python runs on executors.
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
 
-from adfunnel import (
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+from adfunnel import (  # noqa: E402
     SPEC_A, SPEC_B, app_event_rows, build_funnel, capped_revenue_branch, capped_revenue_rows,
-    credited,
-    experiment_report, explode_assignments, first_click, hour_range, per_auction_revenue,
-    per_auction_totals,
+    credited, experiment_report, explode_assignments, first_click, hour_range,
+    per_auction_revenue, per_auction_totals,
 )
 from adfunnel.functions import (
     ATTRIBUTION_FIRST, INSTALL_FIRST, INSTALL_OR_REENG, ad_format_class, device_model_match,
