@@ -9,6 +9,7 @@ at most 4 decimals and only summation order could otherwise differ.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -252,6 +253,32 @@ def q_event_rows(spark, sf):
     return format_hours(rows.drop("target_events", "unreported_target_events"))
 
 
+def _optional(name: str):
+    """Module ``name`` of the training-data part, or None where that part is not installed."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as e:
+        if e.name not in ("adfunnel.llm", "corpus_pipeline"):
+            raise
+        return None
+
+
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    llm, pipeline = _optional("adfunnel.llm.queries"), _optional("corpus_pipeline")
+    out = llm.llm_queries() if llm else {}
+    if pipeline:
+        out["pipeline"] = pipeline.run
+    return out
+
+
+def _llm_sql() -> dict[str, str]:
+    llm, pipeline = _optional("adfunnel.llm.queries"), _optional("corpus_pipeline")
+    out = llm.llm_oracle_sql() if llm else {}
+    if pipeline and pipeline.ORACLE_SQL:
+        out["pipeline"] = pipeline.ORACLE_SQL
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "hour_range_scan": q_hour_range_scan,
@@ -282,6 +309,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "experiment_report": _report(SPEC_A),
         "campaign_experiment_report": _report(SPEC_B),
         "hourly_experiment_report": _report(SPEC_B, per_hour=True),
+        **_llm_queries(),
     }
 
 
@@ -429,4 +457,4 @@ def oracle_sql() -> dict[str, str]:
         "campaign_experiment_report": _report_sql(SPEC_B),
         "hourly_experiment_report": _report_sql(SPEC_B, per_hour=True),
     }
-    return {k: v for k, v in out.items() if v is not None}
+    return {**out, **_llm_sql()}
