@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adfunnel.llm import mixing, sharding
+from adfunnel.llm import mixing, quality, sharding, toxicity
 from adfunnel.llm.common import table
 
 
@@ -18,10 +18,20 @@ def op3_shard_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.document_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op9_quality_votes(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.document_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": op2_mix_sources,
         "op3_shard_bytes": op3_shard_bytes,
+        "op6_toxicity": op6_toxicity,
+        "op9_quality_votes": op9_quality_votes,
     }
 
 
