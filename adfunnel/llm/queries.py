@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adfunnel.llm import mixing, quality, sharding, toxicity
+from adfunnel.llm import mixing, neardup, quality, sharding, toxicity
 from adfunnel.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.document_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
 def op9_quality_votes(spark: SparkSession, sf: str) -> DataFrame:
     return quality.document_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -31,6 +35,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_shard_bytes": op3_shard_bytes,
         "op6_toxicity": op6_toxicity,
+        "op7_near_duplicates": op7_near_duplicates,
         "op9_quality_votes": op9_quality_votes,
     }
 
