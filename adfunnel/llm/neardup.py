@@ -245,8 +245,20 @@ def block_links(rows: DataFrame, documents: DataFrame, reps: DataFrame, percent:
         ok = (100 * both.astype(np.int64) >= percent * union.astype(np.int64)) & (rep[:, None] < rep[None, :])
         if lo != hi:
             ok &= block[:, None] != block[None, :]
-        a, b = np.nonzero(ok)
-        return pa.table({"a": rep[a], "b": rep[b]})
+        # a forest of the verified links is enough for components
+        ok |= ok.T
+        label = np.arange(len(rep))
+        order = np.argsort(rep)
+        ok = ok[order][:, order]
+        while True:
+            low = np.minimum(label, np.where(ok, label[None, :], len(rep)).min(1, initial=len(rep)))
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        at = np.flatnonzero(label < np.arange(len(rep)))
+        rep = rep[order]
+        return pa.table({"a": rep[label[at]], "b": rep[at]})
 
     sets = full_sets(reps, rows.select("rep").distinct(), documents)
     dealt = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long")) \
