@@ -1,16 +1,15 @@
-"""Helpers shared by the operators: reading, word patterns, checkpoints, batches."""
+"""Helpers shared by the operators: reading, word patterns, checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The word pattern of the contracts (ASCII white space splits words).
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,32 +40,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet below the checkpoint folder and read again.
+
+    For wide intermediate rows: compressed, and later reads take only their columns.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def concat_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as one byte array, each followed by a line feed, and their starts."""
-    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    starts = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(lens + 1, out=starts[1:])
-    return np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) if texts else np.zeros(0, np.uint8), starts
-
-
-def text_batches(values: list[str | None], limit: int = 4_000_000):
-    """``(first row, texts)`` runs of about ``limit`` bytes; a longer text has its own run."""
-    run: list[bytes] = []
-    first = size = 0
-    for i, v in enumerate(values):
-        t = (v or "").encode("utf-8", "surrogatepass")
-        if run and size + len(t) > limit:
-            yield first, run
-            run, first, size = [], i, 0
-        run.append(t)
-        size += len(t) + 1
-    if run:
-        yield first, run

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adfunnel.llm import mixing, neardup, quality, sharding, toxicity
+from adfunnel.llm import exactdup, mixing, neardup, quality, sharding, toxicity
 from adfunnel.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op9_quality_votes(spark: SparkSession, sf: str) -> DataFrame:
     return quality.document_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exactdup.document_dedup(table(spark, sf, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": op2_mix_sources,
@@ -37,6 +41,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_near_duplicates": op7_near_duplicates,
         "op9_quality_votes": op9_quality_votes,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
