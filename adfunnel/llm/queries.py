@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from adfunnel.llm import exactdup, mixing, neardup, quality, sharding, toxicity
+from adfunnel.llm import blocktopk, exactdup, mixing, multiindex, neardup, quality, sharding, toxicity
 from adfunnel.llm.common import table
 
 
+def op1_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    return multiindex.search(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+
+
 def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.document_mix(table(spark, sf, "documents"))
 
@@ -18,6 +23,10 @@ def op3_shard_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf, "documents"))
 
 
+def op5_block_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return blocktopk.search(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.document_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -36,8 +45,10 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_multi_index": op1_multi_index,
         "op2_mix_sources": op2_mix_sources,
         "op3_shard_bytes": op3_shard_bytes,
+        "op5_block_top_k": op5_block_top_k,
         "op6_toxicity": op6_toxicity,
         "op7_near_duplicates": op7_near_duplicates,
         "op9_quality_votes": op9_quality_votes,
