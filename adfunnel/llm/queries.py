@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfunnel.llm import blocktopk, exactdup, mixing, multiindex, neardup, quality, sharding, toxicity
+from adfunnel.llm import (
+    blocktopk, exactdup, licenses, mixing, multiindex, neardup, quality, sentencepieces, sharding, toxicity,
+)
 from adfunnel.llm.common import table
 
 
@@ -23,6 +25,10 @@ def op3_shard_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.document_licenses(table(spark, sf, "documents"))
+
+
 def op5_block_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return blocktopk.search(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
 
@@ -35,6 +41,10 @@ def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"))
 
 
+def op8_gumbel_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return sentencepieces.document_segmentations(table(spark, sf, "documents"))
+
+
 def op9_quality_votes(spark: SparkSession, sf: str) -> DataFrame:
     return quality.document_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -48,9 +58,11 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_multi_index": op1_multi_index,
         "op2_mix_sources": op2_mix_sources,
         "op3_shard_bytes": op3_shard_bytes,
+        "op4_license_scan": op4_license_scan,
         "op5_block_top_k": op5_block_top_k,
         "op6_toxicity": op6_toxicity,
         "op7_near_duplicates": op7_near_duplicates,
+        "op8_gumbel_pieces": op8_gumbel_pieces,
         "op9_quality_votes": op9_quality_votes,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
