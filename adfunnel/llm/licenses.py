@@ -59,6 +59,13 @@ def _weights(idf: dict[str, float], templates: dict[str, str]) -> dict[str, dict
     return out
 
 
+def _shared(w: dict[str, float]) -> Column:
+    """Squared weight of the template's terms among the line's words."""
+    terms = F.create_map(*[x for t, v in w.items() for x in (F.lit(t), F.lit(v * v))])
+    return F.aggregate(F.array_intersect(P + "words", F.array(*[F.lit(t) for t in w])), F.lit(0.0),
+                       lambda s, t: s + F.element_at(terms, t))
+
+
 def scan_licenses(files: DataFrame, key: str, path: str, text: str, templates: dict[str, str] = TEMPLATES,
                   threshold: float = THRESHOLD, states_directory: Column | None = None) -> DataFrame:
     """``files`` with own_license, own_score, own_line, license and inherited_from.
@@ -84,10 +91,8 @@ def scan_licenses(files: DataFrame, key: str, path: str, text: str, templates: d
         .where(F.arrays_overlap(P + "words", vocab))
     reach = None
     for w in weights.values():
-        terms = F.create_map(*[x for t, v in w.items() for x in (F.lit(t), F.lit(v * v))])
-        shared = F.aggregate(F.array_intersect(P + "words", F.array(*[F.lit(t) for t in w])), F.lit(0.0),
-                             lambda s, t, terms=terms: s + F.element_at(terms, t))
-        reach = shared >= threshold ** 2 if reach is None else reach | (shared >= threshold ** 2)
+        can = _shared(w) >= threshold ** 2
+        reach = can if reach is None else reach | can
     at = [P + "key", P + "path", P + "line"]
     counts = line.where(reach).withColumn("t", F.explode(P + "words")).groupBy(*at, "t") \
         .agg(F.count(F.lit(1)).alias("tf"))
