@@ -8,7 +8,8 @@ gathered; it is cut by its own content:
   ``GRAM``-byte grams inside it, so equal strings have equal anchors. The strings of one
   anchor occurrence are neighbours; together they span one context of the text.
 * Grams that occur once are dropped. Equal contexts become one class with its first
-  occurrence; all later ones are wholly repeated.
+  occurrence; all later ones are wholly repeated. Where all contexts of a gram are equal,
+  that is all; otherwise the bytes of each class's first occurrence are cut from its text.
 * Classes with a common gram are brought together in bounded batches. The batch's anchor
   sequences (each anchor with the repeated anchors after it in its document) are one text
   of symbols whose suffixes are sorted by linear grouping (``suffixes.py``); runs of the
@@ -78,71 +79,58 @@ def anchors(buf: np.ndarray, starts: np.ndarray):
     return row[head], q[head], q[tail], at[head], gram[head]
 
 
-def gram_rows(docs: DataFrame) -> DataFrame:
-    """(gram, rep, text_hash, twice): each document's grams, and whether one occurs twice in it."""
+def anchor_rows(docs: DataFrame) -> DataFrame:
+    """(gram, context, n, rep, lo, text_hash, twice): every anchor occurrence of every document.
+
+    ``context`` hashes the bytes spanned by the ``n`` strings from ``lo`` and the anchor's
+    place in them; ``twice`` says that the gram occurs again in its document.
+    """
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, last, buf, starts in text_runs(batch.column(1)):
-                row, _, _, _, gram = anchors(buf, starts)
+                row, lo, hi, at, gram = anchors(buf, starts)
+                with np.errstate(over="ignore"):
+                    context = mix64(span_hashes(buf, lo, hi + LENGTH)
+                                    + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 whole = span_hashes(buf, starts[:-1], starts[1:]).view(np.int64)
                 order = np.lexsort((gram, row))
-                row, gram = row[order], gram[order]
-                head = np.ones(len(row), bool)
-                head[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
-                at = np.flatnonzero(head)
-                twice = np.diff(np.append(at, len(row))) > 1
-                row, gram = row[at], gram[at]
+                same = (gram[order][1:] == gram[order][:-1]) & (row[order][1:] == row[order][:-1])
+                twice = np.zeros(len(row), bool)
+                twice[order[1:]] |= same
+                twice[order[:-1]] |= same
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(ids[first + row]), pa.array(whole[row]),
-                     pa.array(twice)], ["gram", "rep", "text_hash", "twice"])
+                    [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)),
+                     pa.array((hi - lo + 1).astype(np.int32)), pa.array(ids[first + row]),
+                     pa.array((lo - starts[row]).astype(np.int64)), pa.array(whole[row]), pa.array(twice)],
+                    ["gram", "context", "n", "rep", "lo", "text_hash", "twice"])
 
     return docs.select("rep", "text").mapInArrow(
-        run, "gram long, rep long, text_hash long, twice boolean")
+        run, "gram long, context long, n int, rep long, lo long, text_hash long, twice boolean")
 
 
-def context_rows(docs: DataFrame) -> DataFrame:
-    """(gram, c1, c2, n, body, rep, lo, s1, s2) for every occurrence of a repeated gram.
+def class_bodies(docs: DataFrame) -> DataFrame:
+    """(gram, context, n, body, rep, lo, s1, s2) for the contexts listed in ``docs`` (rep, text, cuts).
 
-    ``docs``: (rep, text, grams). ``body`` is the context of the ``n`` strings from ``lo``;
-    c1 and c2 are its hashes, s1 and s2 the next repeated anchors of the document.
+    s1 and s2 are the next listed anchors of the document.
     """
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, last, buf, starts in text_runs(batch.column(1)):
-                wanted = [np.sort(batch.column(2)[i].values.to_numpy()) for i in range(first, last)]
-                row, lo, hi, at, gram = anchors(buf, starts)
-                gram = gram.view(np.int64)
-                keep = np.zeros(len(gram), bool)
-                bounds = np.searchsorted(row, np.arange(last - first + 1))
-                for i, w in enumerate(wanted):
-                    mine = slice(bounds[i], bounds[i + 1])
-                    slot = np.minimum(np.searchsorted(w, gram[mine]), len(w) - 1)
-                    keep[mine] = w[slot] == gram[mine]
-                row, lo, hi, at, gram = row[keep], lo[keep], hi[keep], at[keep], gram[keep]
-                if not len(row):
-                    continue
-                s1, s2 = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-                s1[:-1] = np.where(row[1:] == row[:-1], gram[1:], 0)
-                s2[:-2] = np.where(row[2:] == row[:-2], gram[2:], 0)
-                end = hi + LENGTH
-                raw = span_hashes(buf, lo, end)
-                with np.errstate(over="ignore"):
-                    lead = (at - lo).astype(np.uint64)
-                    c1 = mix64(raw + lead * np.uint64(0x9E3779B97F4A7C15))
-                    half = (lo + end) // 2
-                    c2 = mix64(span_hashes(buf, lo, half) * np.uint64(3) ^ span_hashes(buf, half, end) ^ lead)
-                data = buf.tobytes()
-                body = pa.array([data[a:b] for a, b in zip(lo, end)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
-                     pa.array((hi - lo + 1).astype(np.int32)), body, pa.array(ids[first + row]),
-                     pa.array((lo - starts[row]).astype(np.int64)), pa.array(s1), pa.array(s2)],
-                    ["gram", "c1", "c2", "n", "body", "rep", "lo", "s1", "s2"])
-
-    return docs.select("rep", "text", "grams").mapInArrow(
-        run, "gram long, c1 long, c2 long, n int, body binary, rep long, lo long, s1 long, s2 long")
+            cols: list[list] = [[] for _ in range(8)]
+            for rep, text, cuts in zip(batch.column(0), batch.column(1), batch.column(2)):
+                data, cuts = text.as_py().encode(), cuts.as_py()
+                grams = [c["gram"] for c in cuts] + [0, 0]
+                for i, c in enumerate(cuts):
+                    body = data[c["lo"]:c["lo"] + c["n"] - 1 + LENGTH]
+                    for out, v in zip(cols, (c["gram"], c["context"], c["n"], body, rep.as_py(), c["lo"],
+                                             grams[i + 1], grams[i + 2])):
+                        out.append(v)
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                             ["gram", "context", "n", "body", "rep", "lo", "s1", "s2"])
+
+    return docs.select("rep", "text", "cuts").mapInArrow(
+        run, "gram long, context long, n int, body binary, rep long, lo long, s1 long, s2 long")
 
 
 def string_hashes(bodies: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +178,7 @@ def _masks(classes: int, n: np.ndarray, of: np.ndarray, gone: np.ndarray) -> tup
 
 
 def resolve(batch: pa.Table) -> pa.RecordBatch:
-    """(c1, c2, m1, m2): strings of each class's first occurrence that start earlier elsewhere."""
+    """(gram, context, m1, m2): strings of each class's first occurrence that start earlier elsewhere."""
     gram, n = batch.column("gram").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
     group = anchor_groups(gram, batch.column("s1").to_numpy(), batch.column("s2").to_numpy())
     h, of = string_hashes(batch.column("body").to_pylist(), n)
@@ -203,13 +191,13 @@ def resolve(batch: pa.Table) -> pa.RecordBatch:
     gone[order] = same
     m1, m2 = _masks(len(n), n, of, gone)
     return pa.RecordBatch.from_arrays(
-        [batch.column("c1").combine_chunks(), batch.column("c2").combine_chunks(), pa.array(m1), pa.array(m2)],
-        ["c1", "c2", "m1", "m2"])
+        [pa.array(gram), pa.array(batch.column("context").to_numpy()), pa.array(m1), pa.array(m2)],
+        ["gram", "context", "m1", "m2"])
 
 
 def resolved(classes: DataFrame) -> DataFrame:
     """Masks of all classes; ``classes`` arrive sorted by gram within their partition."""
-    names = ["gram", "c1", "c2", "n", "body", "rep", "lo", "s1", "s2"]
+    names = ["gram", "context", "n", "body", "rep", "lo", "s1", "s2"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -229,7 +217,7 @@ def resolved(classes: DataFrame) -> DataFrame:
         if count:
             yield resolve(pa.Table.from_batches(held))
 
-    return classes.select(*names).mapInArrow(run, "c1 long, c2 long, m1 long, m2 long")
+    return classes.select(*names).mapInArrow(run, "gram long, context long, m1 long, m2 long")
 
 
 def crowded(classes: DataFrame) -> DataFrame:
@@ -244,14 +232,14 @@ def crowded(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(h.view(np.int64)),
                  batch.column(4).take(pa.array(of)), pa.array(batch.column(5).to_numpy()[of] + step),
-                 pa.array(step)], ["c1", "c2", "h", "rep", "at", "step"])
+                 pa.array(step)], ["gram", "context", "h", "rep", "at", "step"])
 
-    rows = classes.select("c1", "c2", "n", "body", "rep", "lo").mapInArrow(
-        strings, "c1 long, c2 long, h long, rep long, at long, step long")
+    rows = classes.select("gram", "context", "n", "body", "rep", "lo").mapInArrow(
+        strings, "gram long, context long, h long, rep long, at long, step long")
     firsts = rows.groupBy("h").agg(F.min(F.struct("rep", "at")).alias("first"), F.count(F.lit(1)).alias("k")) \
         .where("k > 1")
     gone = rows.join(firsts, "h").where(F.struct("rep", "at") != F.col("first"))
-    return gone.groupBy("c1", "c2").agg(
+    return gone.groupBy("gram", "context").agg(
         F.expr("bit_or(CASE WHEN step < 40 THEN shiftleft(1L, cast(step AS int)) ELSE 0L END)").alias("m1"),
         F.expr("bit_or(CASE WHEN step >= 40 THEN shiftleft(1L, cast(step - 40 AS int)) ELSE 0L END)").alias("m2"))
 
@@ -270,26 +258,27 @@ def repeated_strings(documents: DataFrame) -> DataFrame:
     placed = checkpointed(digests.join(firsts, "digest").select("doc_id", "rep", "bytes").distinct())
 
     docs = keyed.withColumnRenamed("doc_id", "rep")
-    grams = gram_rows(docs)
-    often = grams.groupBy("gram").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"),
-                                      F.max("twice").alias("twice")).where("lo <> hi OR twice").select("gram")
-    wanted = grams.select("gram", "rep").join(often, "gram") \
-        .join(placed.where("doc_id = rep").select("rep"), "rep") \
-        .groupBy("rep").agg(F.collect_set("gram").alias("grams"))
-    rows = stored(context_rows(docs.join(wanted, "rep")))
-
-    classes = rows.groupBy("gram", "c1", "c2", "n").agg(
-        F.min(F.struct("rep", "lo", "s1", "s2")).alias("f"), F.first("body").alias("body")) \
-        .select("gram", "c1", "c2", "n", "body", "f.rep", "f.lo", "f.s1", "f.s2")
-    sizes = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    several = classes.join(sizes, "gram")
-    in_order = several.where(F.col("k") <= CROWD).repartition("gram").sortWithinPartitions("gram")
-    masks = checkpointed(resolved(in_order).union(crowded(several.where(F.col("k") > CROWD)))
+    rows = anchor_rows(docs)
+    often = rows.groupBy("gram").agg(
+        F.min("text_hash").alias("t0"), F.max("text_hash").alias("t1"), F.max("twice").alias("twice"),
+        F.min("context").alias("c0"), F.max("context").alias("c1")).where("t0 <> t1 OR twice") \
+        .select("gram", (F.col("c0") != F.col("c1")).alias("mixed"))
+    own = placed.where("doc_id = rep").select("rep").distinct()
+    rows = stored(rows.select("gram", "context", "n", "rep", "lo").join(often, "gram").join(own, "rep"))
+
+    classes = rows.groupBy("gram", "context", "n", "mixed").agg(F.min(F.struct("rep", "lo")).alias("f")) \
+        .select("gram", "context", "n", "mixed", "f.rep", "f.lo")
+    cuts = classes.where("mixed").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("lo", "n", "gram", "context"))).alias("cuts"))
+    bodies = stored(class_bodies(docs.join(cuts, "rep").dropDuplicates(["rep"])))
+    sizes = bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
+    some = bodies.join(sizes.where(F.col("k") <= CROWD).select("gram"), "gram", "left_semi")
+    many = bodies.join(sizes.where(F.col("k") > CROWD).select("gram"), "gram", "left_semi")
+    masks = checkpointed(resolved(some.repartition("gram").sortWithinPartitions("gram")).union(crowded(many))
                          .where("m1 <> 0 OR m2 <> 0"))
 
-    own = classes.select("gram", "c1", "c2", F.col("rep").alias("first_rep"), F.col("lo").alias("first_lo"))
-    hits = rows.select("gram", "c1", "c2", "n", "rep", "lo").join(own, ["gram", "c1", "c2"]) \
-        .join(masks, ["c1", "c2"], "left")
+    first = classes.select("gram", "context", F.col("rep").alias("first_rep"), F.col("lo").alias("first_lo"))
+    hits = rows.join(first, ["gram", "context"]).join(masks, ["gram", "context"], "left")
     is_first = (F.col("rep") == F.col("first_rep")) & (F.col("lo") == F.col("first_lo"))
     hits = hits.where(~is_first | F.col("m1").isNotNull()).select(
         F.col("rep").alias("doc_id"), "lo",
