@@ -40,7 +40,7 @@ ROWS = 4
 BANDS = BUCKETS // ROWS
 MANTISSA = 10
 FEW = 64  # members of a bucket that are compared pair by pair
-BLOCK = 128  # members of a block in a larger bucket
+BLOCK = 512  # members of a block in a larger bucket
 _PRIORITY = np.random.default_rng(7).permuted(
     np.tile(np.arange(BUCKETS, dtype=np.int16), (BUCKETS, 1)), axis=1)
 
@@ -236,9 +236,9 @@ def block_links(rows: DataFrame, documents: DataFrame, reps: DataFrame, percent:
         order = np.argsort(member, kind="stable")
         row, member = row[order], member[order]
         both = np.zeros((len(sets), len(sets)), np.float32)
-        for c in range(0, int(member[-1]) + 1 if len(member) else 0, 8192):
-            at = slice(*np.searchsorted(member, [c, c + 8192]))
-            inside = np.zeros((len(sets), 8192), np.float32)
+        for c in range(0, int(member[-1]) + 1 if len(member) else 0, 4096):
+            at = slice(*np.searchsorted(member, [c, c + 4096]))
+            inside = np.zeros((len(sets), 4096), np.float32)
             inside[row[at], member[at] - c] = 1
             both += inside @ inside.T
         union = size[:, None] + size[None, :] - both
