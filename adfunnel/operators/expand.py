@@ -6,27 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def assignment_groups(arr: Column, test_id: int) -> Column:
-    """Group ids of ``arr``'s assignments to ``test_id``, duplicates kept; NULL for a
-    NULL array. ``F.explode`` of it is the per-test expansion."""
-    return F.transform(F.filter(arr, lambda a: a["id"] == F.lit(test_id)),
-                       lambda a: a["group"]["id"])
-
-
 def explode_assignments(df: DataFrame, arr: Column, test_id: int | None = None,
                         group_col: str = "ab_test_group_id",
                         test_col: str = "ab_test_id") -> DataFrame:
     """One row per assignment in ``arr``; a NULL or empty array yields no row.
 
     With ``test_id`` only that test's assignments are kept and just the group id is
-    emitted; the array is filtered *before* the generator, so rows for other tests
-    are never materialised. Duplicate assignments of the test still fan out.
-    Without ``test_id`` every assignment becomes a row with ``test_col`` and
-    ``group_col``.
+    emitted. The filter stands right above the generator: exploding and filtering is
+    code-generated, a lambda over the array is not. Duplicate assignments of the test
+    still fan out. Without ``test_id`` every assignment becomes a row with ``test_col``
+    and ``group_col``.
     """
+    rows = df.withColumn("_assignment", F.explode(arr))
     if test_id is not None:
-        return df.withColumn(group_col, F.explode(assignment_groups(arr, test_id)))
-    return (df.withColumn("_assignment", F.explode(arr))
-              .withColumn(test_col, F.col("_assignment")["id"])
-              .withColumn(group_col, F.col("_assignment")["group"]["id"])
-              .drop("_assignment"))
+        rows = rows.where(F.col("_assignment")["id"] == F.lit(test_id))
+    else:
+        rows = rows.withColumn(test_col, F.col("_assignment")["id"])
+    return rows.withColumn(group_col, F.col("_assignment")["group"]["id"]).drop("_assignment")

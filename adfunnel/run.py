@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from adfunnel.functions.hours import dt_add
 from adfunnel.sources.scan import read_dims, read_facts
 from adfunnel.spec import SPEC_A, SPEC_B
-from adfunnel.streaming.hourly import run_hours
+from adfunnel.streaming.hourly import catch_up, run_hours
 
 SPECS = {"A": SPEC_A, "B": SPEC_B}
 
@@ -27,6 +27,10 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="adfunnel.run", description=__doc__.split("\n")[0])
     p.add_argument("--spec", choices=sorted(SPECS), required=True)
     p.add_argument("--test-id", type=int, help="override the spec's A/B test id")
+    p.add_argument("--control-group", type=int, help="override the spec's control group id")
+    p.add_argument("--test-group", type=int, help="override the spec's test group id")
+    p.add_argument("--catch-up", action="store_true",
+                   help="write only the hours of [dt, end) whose facts are not reported yet")
     p.add_argument("--dt", required=True, help="first hour, YYYY-MM-DDTHH")
     p.add_argument("--end", help="exclusive last hour (default: dt + 1 hour)")
     p.add_argument("--facts", required=True, help="root of the five fact tables")
@@ -38,12 +42,16 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> None:
     args = parse(argv)
     spec = SPECS[args.spec]
-    if args.test_id is not None:
-        spec = replace(spec, test_id=args.test_id)
+    given = {k: getattr(args, k) for k in ("test_id", "control_group", "test_group")}
+    spec = replace(spec, **{k: v for k, v in given.items() if v is not None})
     spark = SparkSession.builder.appName(f"adfunnel-{args.spec}-{args.dt}").getOrCreate()
     names = ["customers", "apps", "ab_test_groups"] + (["campaigns"] if spec.by_campaign else [])
-    run_hours(read_facts(spark, args.facts), read_dims(spark, args.dims, names), spec,
-              args.dt, args.end or dt_add(args.dt, 1), args.sink)
+    facts, dims = read_facts(spark, args.facts), read_dims(spark, args.dims, names)
+    end = args.end or dt_add(args.dt, 1)
+    if args.catch_up:
+        catch_up(spark, facts, dims, spec, args.dt, end, args.sink)
+    else:
+        run_hours(facts, dims, spec, args.dt, end, args.sink)
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adfunnel.functions.hours import dt_add
 from adfunnel.sources.schemas import DIM_SCHEMAS, FACT_SCHEMAS
@@ -30,11 +31,35 @@ def hour_range(df: DataFrame, start: str | None, end: str | None = None,
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Parquet read of one fact or dimension table with its narrow schema."""
+    """Parquet read of one fact or dimension table with its narrow schema.
+
+    Raises when the files lack a needed column or hold it with another type: a forced
+    schema alone would read such a column as NULL.
+    """
     schema = FACT_SCHEMAS.get(name) or DIM_SCHEMAS[name]
+    problems = missing_fields(schema, spark.read.parquet(path).schema)
+    if problems:
+        raise ValueError(f"{name} at {path}: {'; '.join(problems)}")
     return spark.read.schema(schema).parquet(path)
 
 
+def missing_fields(needed: T.DataType, found: T.DataType, where: str = "") -> list[str]:
+    """What ``found`` lacks of ``needed``; further columns and fields do not matter."""
+    if isinstance(needed, T.ArrayType) and isinstance(found, T.ArrayType):
+        return missing_fields(needed.elementType, found.elementType, where + "[]")
+    if isinstance(needed, T.StructType) and isinstance(found, T.StructType):
+        have = {f.name: f.dataType for f in found.fields}
+        out = []
+        for f in needed.fields:
+            at = f"{where}.{f.name}" if where else f.name
+            out += (missing_fields(f.dataType, have[f.name], at) if f.name in have
+                    else [f"no column {at}"])
+        return out
+    if needed != found:
+        return [f"column {where} is {found.simpleString()}, not {needed.simpleString()}"]
+    return []
+
+
 def read_facts(spark: SparkSession, root: str, tables: dict[str, str] | None = None) -> Facts:
     """Read the five fact tables from ``root/<table>`` (or explicit paths)."""
     paths = {name: f"{root}/{name}" for name in FACT_TABLES}

@@ -8,16 +8,21 @@ re-run, or a retry after executor loss, replaces exactly those hours.
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adfunnel.functions.hours import dt_add
 from adfunnel.operators.enrich import DEFAULT_BROADCAST_ROWS
 from adfunnel.plans.report import experiment_report
 from adfunnel.sources.sink import write_hours
 from adfunnel.spec import Dims, ExperimentSpec, Facts
 
 FACT_NAMES = ("impressions", "ad_clicks", "view_clicks", "installs", "app_events")
+LOG_SCHEMA = "dt string, spec string, tables array<string>"
 
 
 def hourly_report(facts: Facts, dims: Dims, spec: ExperimentSpec, start: str, end: str,
@@ -47,8 +52,23 @@ def report_for_hour(template: DataFrame, dt: str) -> DataFrame:
 
 def run_hours(facts: Facts, dims: Dims, spec: ExperimentSpec, start: str, end: str,
               sink: str) -> None:
-    """Compute and write the hourly reports of ``[start, end)``."""
-    write_hours(hourly_report(facts, dims, spec, start, end), sink)
+    """Compute and write the hourly reports of ``[start, end)``; hours without a report
+    row are cleared in the sink."""
+    write_hours(hourly_report(facts, dims, spec, start, end), sink, hours=hours_between(start, end))
+
+
+def hours_between(start: str, end: str) -> list[str]:
+    out, at = [], start
+    while at < end:
+        out.append(at)
+        at = dt_add(at, 1)
+    return out
+
+
+def spec_identity(spec: ExperimentSpec) -> str:
+    """The fields of a spec that change its report, as one string."""
+    fields = {k: v for k, v in asdict(spec).items() if k not in ("control_group", "test_group")}
+    return json.dumps(fields, sort_keys=True)
 
 
 def _log_path(sink: str) -> str:
@@ -56,37 +76,70 @@ def _log_path(sink: str) -> str:
     return f"{sink}/_processed_hours"
 
 
+def _log(spark: SparkSession, sink: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(LOG_SCHEMA).parquet(_log_path(sink))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # nothing processed yet
+
+
+def _seen(spark: SparkSession, sink: str, spec: ExperimentSpec) -> dict[str, set[str]]:
+    """Hour -> fact tables that had rows when the hour was last reported."""
+    log = _log(spark, sink)
+    if log is None:
+        return {}
+    out: dict[str, set[str]] = {}
+    for r in log.groupBy("dt", "spec").agg(F.array_distinct(F.flatten(F.collect_list("tables")))
+                                           .alias("tables")).collect():  # one row per hour
+        if r.spec != spec_identity(spec):
+            raise ValueError(f"{sink} holds the reports of another experiment ({r.spec}); "
+                             "give each experiment its own sink")
+        out[r.dt] = set(r.tables)
+    return out
+
+
 def written_hours(spark: SparkSession, sink: str) -> set[str]:
     """Hours already processed into the sink, including hours whose report was empty
     (one small row per hour reaches the driver)."""
-    try:
-        done = spark.read.parquet(_log_path(sink)).select("dt").distinct()
-    except AnalysisException:  # nothing processed yet
-        return set()
-    return {r.dt for r in done.collect()}
+    log = _log(spark, sink)
+    return set() if log is None else {r.dt for r in log.select("dt").distinct().collect()}
 
 
 def catch_up(spark: SparkSession, facts: Facts, dims: Dims, spec: ExperimentSpec,
              start: str, end: str, sink: str) -> list[str]:
-    """Write the hours of ``[start, end)`` that have facts but no report yet.
+    """Write the hours of ``[start, end)`` whose facts are not (fully) in their report yet.
+
+    Returns the hours written. The log keeps, per hour, the fact tables that had rows when
+    the hour was reported; an hour is pending while a table has rows that the log does not
+    name, so a table that lands late gets its hour reported anew. Hours reported from all
+    five tables are left out of the scans by a partition filter. Only hours and table names
+    (a few rows per hour) reach the driver. A sink belongs to one experiment.
 
-    Returns the hours written. An hour is pending when any fact table has rows for
-    it; only the distinct ``dt`` values (one per hour) reach the driver.
+    More rows of a table that had already landed are not noticed: report such an hour with
+    :func:`run_hours`.
     """
-    have = written_hours(spark, sink)
-    tables = [getattr(facts, name) for name in FACT_NAMES]
+    seen = _seen(spark, sink, spec)
+    complete = [h for h, tables in seen.items() if len(tables) == len(FACT_NAMES) and start <= h < end]
     landed = None
-    for df in tables:
-        hours = df.where((F.col("dt") >= start) & (F.col("dt") < end)).select("dt")
+    for name in FACT_NAMES:
+        df = getattr(facts, name).where((F.col("dt") >= start) & (F.col("dt") < end))
+        if complete:
+            df = df.where(~F.col("dt").isin(complete))
+        hours = df.select("dt", F.lit(name).alias("name"))
         landed = hours if landed is None else landed.union(hours)
-    pending = sorted(r.dt for r in landed.distinct().collect() if r.dt not in have)
+    present: dict[str, set[str]] = {}
+    for r in landed.distinct().collect():
+        present.setdefault(r.dt, set()).add(r.name)
+    pending = sorted(h for h, tables in present.items() if tables - seen.get(h, set()))
     if not pending:
         return []
     keep = Facts(**{name: getattr(facts, name).where(F.col("dt").isin(pending))
                     for name in FACT_NAMES})
-    run_hours(keep, dims, spec, pending[0], end, sink)
+    write_hours(hourly_report(keep, dims, spec, pending[0], end), sink, hours=pending)
     # Logged only after the report hours are committed: a failure before this
     # point leaves them pending, and the rerun overwrites them.
-    spark.createDataFrame([(h,) for h in pending], "dt string").coalesce(1) \
-        .write.mode("append").parquet(_log_path(sink))
+    spark.createDataFrame([(h, spec_identity(spec), sorted(present[h])) for h in pending], LOG_SCHEMA) \
+        .coalesce(1).write.mode("append").parquet(_log_path(sink))
     return pending

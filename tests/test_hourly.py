@@ -1,8 +1,12 @@
 """Hour-by-hour incremental runner: catch-up writes missing hours only, idempotently."""
 
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
-from adfunnel import SPEC_A, experiment_report
+from adfunnel import SPEC_A, SPEC_B, experiment_report, write_hours
+from adfunnel.sources import read_table
 from adfunnel.sources.derived import derive_dims, derive_facts
 from adfunnel.streaming import catch_up, report_for_hour, report_template, written_hours
 
@@ -60,3 +64,42 @@ def test_catch_up_after_crash_between_write_and_log(spark, tmp_path):
     direct = experiment_report(facts, dims, SPEC_A, start, end, per_hour=True)
     assert after.select(direct.columns).exceptAll(direct).count() == 0
     assert direct.exceptAll(after.select(direct.columns)).count() == 0
+
+
+def test_table_landing_late_gets_its_hours_reported_again(spark, tmp_path):
+    sink = str(tmp_path / "late")
+    facts, dims = derive_facts(spark, SF_SMALL), derive_dims(spark, SF_SMALL)
+    start, end = "2024-01-02T00", "2024-01-03T00"
+    early = replace(facts, **{n: getattr(facts, n).where("false")
+                              for n in ("ad_clicks", "view_clicks", "installs", "app_events")})
+    assert catch_up(spark, early, dims, SPEC_A, start, end, sink)
+    assert catch_up(spark, facts, dims, SPEC_A, start, end, sink)
+    direct = experiment_report(facts, dims, SPEC_A, start, end, per_hour=True)
+    written = spark.read.parquet(sink).select(direct.columns)
+    assert written.exceptAll(direct).count() == 0 and direct.exceptAll(written).count() == 0
+    assert catch_up(spark, facts, dims, SPEC_A, start, end, sink) == []
+
+
+def test_sink_belongs_to_one_experiment(spark, tmp_path):
+    sink = str(tmp_path / "one")
+    facts, dims = derive_facts(spark, SF_SMALL), derive_dims(spark, SF_SMALL)
+    args = ("2024-01-02T00", "2024-01-02T06", sink)
+    assert catch_up(spark, facts, dims, SPEC_A, *args)
+    with pytest.raises(ValueError, match="another experiment"):
+        catch_up(spark, facts, dims, SPEC_B, *args)
+
+
+def test_hour_rerun_to_empty_is_cleared(spark, tmp_path):
+    sink = str(tmp_path / "empty")
+    rows = spark.createDataFrame([("2024-01-01T00", 1), ("2024-01-01T01", 2)], "dt string, k int")
+    write_hours(rows, sink, hours=["2024-01-01T00", "2024-01-01T01"])
+    write_hours(rows.where("k = 3"), sink, hours=["2024-01-01T00"])
+    assert [(r.k, r.dt) for r in spark.read.parquet(sink).collect()] == [(2, "2024-01-01T01")]
+
+
+def test_renamed_column_raises(spark, tmp_path):
+    path = str(tmp_path / "installs")
+    facts = derive_facts(spark, SF_SMALL)
+    facts.installs.withColumnRenamed("pod_device_model", "device_model").limit(5).write.parquet(path)
+    with pytest.raises(ValueError, match="no column pod_device_model"):
+        read_table(spark, path, "installs")

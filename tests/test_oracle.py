@@ -7,6 +7,8 @@ from conftest import SF_SMALL
 from oracle_check import compare, duck
 
 SQL = entry.oracle_sql()
+# the training-data queries have their own tests beside their operators
+REPORT_QUERIES = sorted(set(entry.queries()) - set(entry._llm_queries()))
 
 
 @pytest.fixture(scope="module")
@@ -15,10 +17,10 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(SQL)
+    assert set(REPORT_QUERIES) == set(SQL) - set(entry._llm_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", REPORT_QUERIES)
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, name, entry.queries()[name], SQL[name], SF_SMALL, con)
     assert r["cols"], (r["s_cols"], r["d_cols"])
