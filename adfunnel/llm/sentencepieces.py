@@ -74,12 +74,14 @@ class Lattices:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.longest = max(map(len, vocabulary.weights))
-        keys = np.zeros(len(vocabulary.weights), np.uint64)
-        for i, piece in enumerate(vocabulary.weights):
-            h = np.zeros(1, np.uint64)
-            for c in piece:
-                h = extended(h, np.array([ord(c)], np.uint64))
-            keys[i] = h[0]
+        pieces = list(vocabulary.weights)
+        keys = np.zeros(len(pieces), np.uint64)
+        size = np.array([len(p) for p in pieces])
+        self.prefixes = np.zeros(1 << 20, bool)
+        for m in range(self.longest):
+            on = np.flatnonzero(size > m)
+            keys[on] = extended(keys[on], np.array([ord(pieces[i][m]) for i in on], np.uint64))
+            self.prefixes[keys[on] >> np.uint64(44)] = True
         ids = np.array([v[0] for v in vocabulary.weights.values()], np.int64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], ids[order]
@@ -110,6 +112,8 @@ class Lattices:
             on = left[at] >= m
             at = at[on]
             h = extended(h[on], chars[at + m - 1])
+            on = self.prefixes[h >> np.uint64(44)]  # no piece begins like the others
+            at, h = at[on], h[on]
             slot = self.slots[h >> np.uint64(44)]
             maybe = np.flatnonzero(slot)
             place = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
