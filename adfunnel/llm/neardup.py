@@ -13,8 +13,10 @@ threshold, and is then verified on the full sets.
 No bucket is expanded into all its pairs. Equal sets are one class beforehand. Every
 member of a band bucket is compared with the bucket's smallest id; after linked texts are
 joined into components, only buckets that still hold several components compare members
-across components: small ones pair by pair, crowded ones in pairs of bounded blocks. A pair at the threshold shares no band with probability
-(1 - 0.75^4)^32 = 5e-6.
+across components: small ones pair by pair, crowded ones (a passage that many texts share
+fills them with unlike texts) in pairs of bounded blocks, first on registers alone; full
+sets are then compared only of members for which a block holds a likely partner. A pair at
+the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 
 Defined results: no words (or NULL text): empty set, linked with nothing, own component;
 fewer words than a shingle: the whole sequence as one shingle; a NULL doc_id takes no part
@@ -99,15 +101,16 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
         return mix64(mix64(bands) ^ salt).view(np.int64)
 
 
+def register_chances(n: np.ndarray) -> np.ndarray:
+    """Probability of every leading-zero count for sets of ``n`` shingles, one row each."""
+    edge = 0.5 ** np.arange(0, 40)
+    load = np.maximum(n / BUCKETS, 1.0)[:, None]
+    return np.diff((1 - edge[None, :]) ** load, axis=1)  # of P(smallest value > edge)
+
+
 def chance_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Probability that registers of unrelated sets of ``n`` and ``m`` shingles agree."""
-    edge = 0.5 ** np.arange(0, 40)
-    out = []
-    for size in (n, m):
-        load = np.maximum(size / BUCKETS, 1.0)[:, None]
-        beyond = (1 - edge[None, :]) ** load  # P(smallest value > edge)
-        out.append(np.diff(beyond, axis=1))
-    return (out[0] * out[1]).sum(1) / (1 << MANTISSA)
+    return (register_chances(n) * register_chances(m)).sum(1) / (1 << MANTISSA)
 
 
 def estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -169,9 +172,7 @@ def likely_pairs(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
             ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS)
                       for i in (4, 5))
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            used = np.minimum(np.minimum(na, nb) / 2, BUCKETS)
-            bar = share - 5 * np.sqrt(share * (1 - share) / np.maximum(used, 1))
-            ok = estimated(ra, rb, na, nb) >= bar
+            ok = estimated(ra, rb, na, nb) >= least_estimate(share, na, nb)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     joined = pairs.join(left, "a").join(right, "b") \
@@ -216,13 +217,46 @@ def verified_pairs(pairs: DataFrame, documents: DataFrame, reps: DataFrame, perc
         .mapInArrow(compare, "a long, b long")
 
 
+def least_estimate(share: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The lowest estimate at which sets of ``n`` and ``m`` shingles may still reach ``share``."""
+    used = np.minimum(np.minimum(n, m) / 2, BUCKETS)
+    return share - 5 * np.sqrt(share * (1 - share) / np.maximum(used, 1))
+
+
+def with_likely_partner(group: pa.Table, share: float) -> np.ndarray:
+    """Which members of a pair of blocks have a likely partner in another component."""
+    n, component = group.column("n").to_numpy(), group.column("component").to_numpy()
+    block, lo, hi = (group.column(c).to_numpy() for c in ("block", "lo", "hi"))
+    regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    chances = register_chances(n)
+    found = np.zeros(len(n), bool)
+    for i in np.flatnonzero(block == lo):
+        other = (component != component[i]) & ((lo == hi) | (block == hi))
+        other &= np.minimum(n, n[i]) >= share * np.maximum(n, n[i])
+        at = np.flatnonzero(other)
+        chance = chances[at] @ chances[i] / (1 << MANTISSA)
+        estimate = ((regs[at] == regs[i]).mean(1) - chance) / (1 - chance)
+        near = at[estimate >= least_estimate(share, n[at], n[i])]
+        if len(near):
+            found[i] = True
+            found[near] = True
+    return found
+
+
 def block_links(rows: DataFrame, documents: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Verified links inside crowded buckets, without a row per pair.
 
-    ``rows`` (key, rep, m): members of buckets with ``m`` members. A bucket is dealt into
-    blocks of about ``BLOCK`` members; each pair of blocks is one bounded group, in which
-    all intersections come from one product of the blocks' incidence matrices.
+    ``rows`` (key, rep, n, component, m): members of buckets with ``m`` members. A bucket's
+    largest component, its core, is dealt into blocks of about ``BLOCK`` members, and so are
+    the others. Pairs inside the core are linked already; each other pair of blocks is one
+    bounded group, in which all intersections come from one product of the blocks'
+    incidence matrices. Full sets are sent only of members with a likely partner by the
+    registers in that pair of blocks.
     """
+    def likely(group: pa.Table) -> pa.Table:
+        found = with_likely_partner(group, percent / 100)
+        return group.select(["key", "rep", "block", "lo", "hi"]).filter(pa.array(found))
+
     def links(group: pa.Table) -> pa.Table:
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         rep, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
@@ -260,13 +294,30 @@ def block_links(rows: DataFrame, documents: DataFrame, reps: DataFrame, percent:
         rep = rep[order]
         return pa.table({"a": rep[label[at]], "b": rep[at]})
 
-    sets = full_sets(reps, rows.select("rep").distinct(), documents)
-    dealt = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long")) \
-        .withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")) \
-        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))) \
-        .select("key", "rep", "block", F.least("block", "other").alias("lo"),
-                F.greatest("block", "other").alias("hi")).join(sets, "rep")
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(links, "a long, b long").distinct()
+    cores = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")) \
+        .groupBy("key").agg(F.max(F.struct("size", "component")).alias("core")) \
+        .select("key", F.col("core.size").alias("size"), F.col("core.component").alias("core"))
+    dealt = rows.join(cores, "key").select(
+        "key", "rep", "n", "component", (F.col("component") == F.col("core")).alias("inside"),
+        F.ceil((F.col("m") - F.col("size")) / BLOCK).cast("long").alias("outer"),
+        F.ceil(F.col("size") / BLOCK).cast("long").alias("inner")) \
+        .withColumn("block", F.expr("if(inside, outer + pmod(xxhash64(rep), inner), pmod(xxhash64(rep), outer))")) \
+        .withColumn("other", F.explode(F.expr("sequence(0L, if(inside, outer, outer + inner) - 1)"))) \
+        .select("key", "rep", "n", "component", "block", F.least("block", "other").alias("lo"),
+                F.greatest("block", "other").alias("hi")).join(reps.select("rep", "regs"), "rep")
+    left = checkpointed(dealt.groupBy("key", "lo", "hi").applyInArrow(
+        likely, "key long, rep long, block long, lo long, hi long"))
+    sets = full_sets(reps, left.select("rep").distinct(), documents)
+    return left.join(sets, "rep").groupBy("key", "lo", "hi").applyInArrow(links, "a long, b long").distinct()
+
+
+def mixed_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rep, n, component, m): members of buckets that hold several components."""
+    placed = shared.join(labels, F.col("rep") == F.col("node"), "left") \
+        .select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                      F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+    return checkpointed(placed.join(mixed, "key"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -286,13 +337,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     links = checkpointed(verified_pairs(checkpointed(likely_pairs(stars, reps, share)), documents, reps, percent))
     labels = component_labels(links)
 
-    placed = shared.join(labels, F.col("rep") == F.col("node"), "left") \
-        .select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo < hi").select("key")
-    open_rows = placed.join(mixed, "key")
-    sizes = open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    open_rows = checkpointed(open_rows.join(sizes, "key"))
+    open_rows = mixed_buckets(shared.drop("leader"), labels)
     few = open_rows.where(F.col("m") <= FEW)
     x = few.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = few.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
@@ -305,7 +350,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         more.append(verified_pairs(across, documents, reps, percent))
     crowded = open_rows.where(F.col("m") > FEW)
     if not crowded.isEmpty():
-        more.append(block_links(crowded.select("key", "rep", "m"), documents, reps, percent))
+        more.append(block_links(crowded.select("key", "rep", "n", "component", "m"), documents, reps, percent))
     for found in more:
         links = links.union(found)
     if more:
