@@ -41,7 +41,7 @@ from adfunnel.operators.filters import segment_condition, skan_compatible
 from adfunnel.operators.revenue import BID
 from adfunnel.plans.funnel import funnel_rows
 from adfunnel.sources.derived import derive_dims, derive_facts
-from oracle.report_sql import ReportSQL, first, fmt_class, hour, quality
+from oracle.report_sql import REPORT_A, REPORT_B, ReportSQL, first, fmt_class, hour, quality
 from oracle.tables import table_ctes
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
@@ -336,7 +336,7 @@ def _report_sql(spec, per_hour=False) -> str:
 
 def oracle_sql() -> dict[str, str]:
     b = "impression__bid__"
-    ra, rb = ReportSQL(SPEC_A), ReportSQL(SPEC_B)
+    ra, rb = ReportSQL(REPORT_A), ReportSQL(REPORT_B)
     sq = ["squared_capped_customer_revenue"]
     p = "ad_click__impression__bid__"
     dev = p + "bid_request__device__"
@@ -352,7 +352,7 @@ def oracle_sql() -> dict[str, str]:
             f"{first(I + 'impression__auction_id', R + 'impression__auction_id', A + 'impression__auction_id')} AS auction_id, "
             "u.\"group\".id AS ab_test_group_id FROM app_events CROSS JOIN UNNEST("
             f"{first(I + b + 'bid_request__ab_test_assignments', R + b + 'bid_request__ab_test_assignments')}"
-            f") AS t(u) WHERE u.id = {SPEC_A.test_id}")),
+            f") AS t(u) WHERE u.id = {REPORT_A.test_id}")),
         "credited_filter": _with(select=(
             "SELECT event_timestamp, is_uncredited, tracker_params__idfa FROM installs "
             "WHERE is_uncredited <> true")),
@@ -453,8 +453,8 @@ def oracle_sql() -> dict[str, str]:
             "LEFT JOIN campaigns k ON f.campaign_id = k.id")),
         "funnel_union": _with(ra.ctes(), select=_rounded("SELECT * FROM funnel", sq)),
         "campaign_funnel_union": _with(rb.ctes(), select=_rounded("SELECT * FROM funnel", sq)),
-        "experiment_report": _report_sql(SPEC_A),
-        "campaign_experiment_report": _report_sql(SPEC_B),
-        "hourly_experiment_report": _report_sql(SPEC_B, per_hour=True),
+        "experiment_report": _report_sql(REPORT_A),
+        "campaign_experiment_report": _report_sql(REPORT_B),
+        "hourly_experiment_report": _report_sql(REPORT_B, per_hour=True),
     }
     return {**out, **_llm_sql()}

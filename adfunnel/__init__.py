@@ -3,7 +3,7 @@
 from adfunnel.operators.branches import (
     click_branch, click_rows, impression_branch, impression_rows, install_branch, install_rows,
 )
-from adfunnel.operators.enrich import assert_unique, broadcast_if_bounded, enrich
+from adfunnel.operators.enrich import assert_unique, enrich
 from adfunnel.operators.expand import explode_assignments
 from adfunnel.operators.filters import credited, first_click, segment_filter, skan_compatible
 from adfunnel.operators.revenue import (
@@ -18,7 +18,7 @@ from adfunnel.spec import SPEC_A, SPEC_B, Dims, ExperimentSpec, Facts
 
 __all__ = [
     "SPEC_A", "SPEC_B", "Dims", "ExperimentSpec", "Facts", "app_event_rows", "assert_unique",
-    "broadcast_if_bounded", "build_funnel", "capped_revenue_branch", "capped_revenue_rows",
+    "build_funnel", "capped_revenue_branch", "capped_revenue_rows",
     "click_branch", "click_rows",
     "credited", "enrich", "experiment_report", "explode_assignments", "first_click",
     "funnel_rows", "hour_range", "impression_branch", "impression_rows", "install_branch",

@@ -1,15 +1,12 @@
-"""Dimension enrichment (LEFT joins) with a bounded broadcast.
+"""Dimension enrichment: LEFT joins of the name columns.
 
-A dimension is broadcast only after its row count proves it small; a larger one
-falls back to whatever join Spark plans (sort-merge, or a broadcast chosen by AQE
-at run time from measured sizes). The count is a distributed partial/final count
-over the projected dimension (on Parquet it reads row-group footers only), so no
-task ever gathers dimension rows.
+Which side is broadcast is Spark's choice, by size: ``autoBroadcastJoinThreshold`` on the
+estimate of the projected dimension (keys and names only), and again by AQE on measured
+bytes. No job runs while a plan is built.
 """
 
 from __future__ import annotations
 
-import weakref
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,7 +14,7 @@ from pyspark.sql import functions as F
 
 from adfunnel.spec import Dims, ExperimentSpec
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
+SPREAD = 16  # parts of one test group in a join that is not broadcast
 
 
 @dataclass(frozen=True)
@@ -47,42 +44,6 @@ def name_columns(spec: ExperimentSpec) -> list[str]:
     return [out for j in dim_joins(spec) for _, out in j.names]
 
 
-def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows."""
-    return df.count() <= max_rows
-
-
-def bounded(frames: list[DataFrame], max_rows: int) -> list[bool]:
-    """:func:`is_bounded` for several frames in one Spark job."""
-    probes = None
-    for i, df in enumerate(frames):
-        probe = df.select(F.lit(i).alias("_frame"))
-        probes = probe if probes is None else probes.unionByName(probe)
-    counts = {r["_frame"]: r["n"] for r in
-              probes.groupBy("_frame").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return [counts.get(i, 0) <= max_rows for i in range(len(frames))]
-
-
-# Bound-check results per dimension DataFrame. A DataFrame is an immutable plan over
-# a file listing fixed when it was read, so its row count cannot change; a new read
-# of the table is a new object and is checked again.
-_BOUNDED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def _bounded_dims(dims: list[DataFrame], sides: list[DataFrame], max_rows: int) -> list[bool]:
-    todo = [i for i, d in enumerate(dims) if (max_rows not in _BOUNDED.get(d, {}))]
-    if todo:
-        for i, ok in zip(todo, bounded([sides[i] for i in todo], max_rows)):
-            _BOUNDED.setdefault(dims[i], {})[max_rows] = ok
-    return [_BOUNDED[d][max_rows] for d in dims]
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
-    if max_rows is None:
-        return df
-    return F.broadcast(df) if is_bounded(df, max_rows) else df
-
-
 def assert_unique(dim: DataFrame, keys: list[str]) -> None:
     """Raise if ``keys`` repeat in ``dim`` (a repeat multiplies report sums)."""
     dup = dim.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
@@ -90,12 +51,15 @@ def assert_unique(dim: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"duplicate dimension key {[dup[0][k] for k in keys]} on {keys}")
 
 
-def enrich(df: DataFrame, dims: Dims, spec: ExperimentSpec,
-           broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def enrich(df: DataFrame, dims: Dims, spec: ExperimentSpec, spread: str | None = None) -> DataFrame:
     """LEFT-join the name columns of each dimension onto ``df``.
 
     Unmatched or NULL keys keep the row with NULL names. Only join keys and name
     columns leave each dimension scan.
+
+    A report holds a handful of test group ids, so a join hashed on that id alone would run
+    in as many tasks. ``spread`` names a column of ``df`` with values 0 to ``SPREAD - 1``;
+    the groups are then repeated for each value and joined on both.
     """
     joins = dim_joins(spec)
     tables = [getattr(dims, j.dim) for j in joins]
@@ -105,9 +69,6 @@ def enrich(df: DataFrame, dims: Dims, spec: ExperimentSpec,
     sides = [t.select(*[F.col(d).alias(f"_{j.dim}_{d}") for _, d in j.on],
                       *[F.col(d).alias(out_name) for d, out_name in j.names])
              for t, j in zip(tables, joins)]
-    if broadcast_rows is not None:
-        small = _bounded_dims(tables, sides, broadcast_rows)
-        sides = [F.broadcast(side) if ok else side for side, ok in zip(sides, small)]
     out = df
     for j, side in zip(joins, sides):
         tag = f"_{j.dim}_"
@@ -115,6 +76,9 @@ def enrich(df: DataFrame, dims: Dims, spec: ExperimentSpec,
         for fact_col, dim_col in j.on:
             eq = out[fact_col] == side[tag + dim_col]
             cond = eq if cond is None else cond & eq
+        if spread and j is GROUPS:
+            side = side.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+            cond = cond & (out[spread] == side["_part"])
         out = out.join(side, cond, "left")
     # the dimensions' join keys go in one projection at the end
     return out.select(*df.columns, *name_columns(spec))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adfunnel.functions.attribution import (
-    ATTRIBUTION_FIRST, INSTALL, INSTALL_FIRST, INSTALL_OR_REENG, ad_format_class,
+    ATTRIBUTION_FIRST, INSTALL, INSTALL_FIRST, INSTALL_OR_REENG, ad_format_class, any_touch,
     match_flag_columns, touch_coalesce,
 )
 from adfunnel.functions.hours import hour_bucket
@@ -32,8 +32,14 @@ BID = "impression__bid__"
 
 
 def event_filter(spec: ExperimentSpec) -> Column:
-    """Segment and SKAN filters of app events, each column with its own touch order."""
-    return (segment_condition(touch_coalesce(BID + "campaign_tracker_type", INSTALL_FIRST),
+    """Segment and SKAN filters of app events, each column with its own touch order.
+
+    A first non-NULL touch equal to a value implies that some touch equals it; unlike the
+    tests on the coalesced touches, that reaches the Parquet reader.
+    """
+    return (any_touch(BID + "app_platform", spec.platform)
+            & any_touch(BID + "ad_group_type", spec.ad_group_type)
+            & segment_condition(touch_coalesce(BID + "campaign_tracker_type", INSTALL_FIRST),
                               touch_coalesce(BID + "ad_group_type", ATTRIBUTION_FIRST),
                               touch_coalesce(BID + "app_platform", ATTRIBUTION_FIRST), spec)
             & skan_compatible(F.col("skan_params__version"),

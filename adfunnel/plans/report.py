@@ -20,7 +20,7 @@ from adfunnel.functions.attribution import QUALITY_CONDITIONS
 from adfunnel.functions.hours import iso_from_bucket, within_days
 from adfunnel.functions.money import to_dollars
 from adfunnel.operators.branches import HOUR_BUCKETS, event_measures
-from adfunnel.operators.enrich import DEFAULT_BROADCAST_ROWS, enrich, name_columns
+from adfunnel.operators.enrich import SPREAD, enrich, name_columns
 from adfunnel.plans.funnel import funnel_rows
 from adfunnel.spec import Dims, ExperimentSpec, Facts
 
@@ -107,8 +107,7 @@ def aggregate_report(rows: DataFrame, spec: ExperimentSpec, per_hour: bool = Fal
 
 def experiment_report(facts: Facts, dims: Dims, spec: ExperimentSpec,
                       start: str | None = None, end: str | None = None,
-                      per_hour: bool = False,
-                      broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                      per_hour: bool = False) -> DataFrame:
     """The A/B-test funnel report for ``start <= dt < end`` (all hours if None).
 
     ``per_hour=True`` reports each hour separately (a ``dt`` column leads), equal
@@ -117,12 +116,14 @@ def experiment_report(facts: Facts, dims: Dims, spec: ExperimentSpec,
     """
     rows = funnel_rows(facts, spec, start, end, per_hour)
     by_ids = aggregate_report(rows, spec, per_hour)
-    named = enrich(by_ids, dims, spec, broadcast_rows)
+    part = F.pmod(F.xxhash64(*report_keys(spec, per_hour)), F.lit(SPREAD)).cast("int")
+    named = enrich(by_ids.withColumn("_spread", part), dims, spec, "_spread")
     # Names are keys of the report too. With unique dimension ids this pass only
     # regroups identical rows; with repeated ids it sums them the way the
     # reference's join-then-group does. The join keeps the partitioning on the id
-    # keys, a subset of these keys, so no exchange is added.
-    keys = report_keys(spec, per_hour) + name_columns(spec)
+    # keys, a subset of these keys, so no exchange is added. The spread is a function of
+    # the id keys; as a key it lets a join hashed on (group, spread) do the same.
+    keys = report_keys(spec, per_hour) + ["_spread"] + name_columns(spec)
     measures = list(report_row_measures(spec))
     regrouped = named.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
     # one final projection: ISO hour strings, cohort micros to dollars, output order

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adfunnel.functions.hours import dt_add
-from adfunnel.operators.enrich import DEFAULT_BROADCAST_ROWS
 from adfunnel.plans.report import experiment_report
 from adfunnel.sources.sink import write_hours
 from adfunnel.spec import Dims, ExperimentSpec, Facts
@@ -25,15 +24,13 @@ FACT_NAMES = ("impressions", "ad_clicks", "view_clicks", "installs", "app_events
 LOG_SCHEMA = "dt string, spec string, tables array<string>"
 
 
-def hourly_report(facts: Facts, dims: Dims, spec: ExperimentSpec, start: str, end: str,
-                  broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def hourly_report(facts: Facts, dims: Dims, spec: ExperimentSpec, start: str,
+                  end: str) -> DataFrame:
     """One report per ``dt`` in ``[start, end)``, as a single DataFrame with ``dt``."""
-    return experiment_report(facts, dims, spec, start, end, per_hour=True,
-                             broadcast_rows=broadcast_rows)
+    return experiment_report(facts, dims, spec, start, end, per_hour=True)
 
 
-def report_template(facts: Facts, dims: Dims, spec: ExperimentSpec,
-                    broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def report_template(facts: Facts, dims: Dims, spec: ExperimentSpec) -> DataFrame:
     """The per-hour report over every hour of ``facts``, built once.
 
     Select hours with :func:`report_for_hour` (or ``.where`` on ``dt``): ``dt`` is a
@@ -42,7 +39,7 @@ def report_template(facts: Facts, dims: Dims, spec: ExperimentSpec,
     each fact scan. Each run reads only its hours, while the plan is built and
     analyzed once per process instead of once per hour.
     """
-    return experiment_report(facts, dims, spec, per_hour=True, broadcast_rows=broadcast_rows)
+    return experiment_report(facts, dims, spec, per_hour=True)
 
 
 def report_for_hour(template: DataFrame, dt: str) -> DataFrame:

@@ -8,10 +8,19 @@ shaped differently. DuckDB differences handled here: ``sum`` of BIGINT is HUGEIN
 
 from __future__ import annotations
 
-from adfunnel.spec import ExperimentSpec
+from types import SimpleNamespace
+
+# The two reports, written here a second time so that a wrong constant in the
+# library shows as a difference.
+_BOTH = dict(platform="IOS", ad_group_type="user-acquisition", excluded_tracker="SKAN",
+             cap_micros=500_000_000, revenue_bound=100_000_000_000, cohort_days=7)
+REPORT_A = SimpleNamespace(test_id=1067, by_campaign=False, first_events=False, d7=False, **_BOTH)
+REPORT_B = SimpleNamespace(test_id=1084, by_campaign=True, first_events=True, d7=True, **_BOTH)
 
 I, R, A = "install__ad_click__", "reeng_click__", "attribution_event__click__"
-BLANK = "('', '00000000-0000-0000-0000-000000000000')"
+BLANK = "['', '00000000-0000-0000-0000-000000000000']"
+FORMATS = "['video', 'native', '320x50', '728x90', '300x250']"
+CLASSES = "['VAST', 'native', 'banner', 'banner', 'mrec', 'html-interstitial']"
 
 
 def hour(ms: str) -> str:
@@ -24,21 +33,34 @@ def first(*cols: str) -> str:
 
 
 def fmt_class(x: str) -> str:
-    return (f"CASE WHEN {x} = 'video' THEN 'VAST' WHEN {x} = 'native' THEN 'native' "
-            f"WHEN {x} IN ('320x50', '728x90') THEN 'banner' WHEN {x} = '300x250' THEN 'mrec' "
-            f"ELSE 'html-interstitial' END")
+    """The class beside the format in the lists; the last one for any other or NULL."""
+    return f"{CLASSES}[coalesce(nullif(list_position({FORMATS}, {x}), 0), 6)]"
 
 
 def quality(idfa: str, pid: str, mt: str, bm: str, pm: str) -> list[str]:
-    return [
-        f"CASE WHEN {idfa} NOT IN {BLANK} AND {idfa} = {pid} THEN 'yes' ELSE 'no' END AS idfa_match",
-        f"CASE WHEN {idfa} IN {BLANK} OR {pid} IN {BLANK} THEN 'yes' ELSE 'no' END AS idfa_missing",
-        f"{mt} AS match_type",
-        f"{bm} AS bidrequest_normalized_device_model",
-        f"CASE WHEN {bm} = {pm} THEN 'yes' ELSE 'no' END AS normalized_device_model_match",
-        f"CASE WHEN {bm} LIKE '%Unknown' OR {pm} LIKE '%Unknown' OR '' IN ({pm}, {bm}) "
-        f"THEN 'yes' ELSE 'no' END AS unknown_device_model",
-    ]
+    """The match flags, 'yes' only where a test is plainly true; NULLs are tested for."""
+    def blank(x: str) -> str:
+        return f"({x} IS NOT NULL AND list_contains({BLANK}, {x}))"
+
+    def ends_unknown(x: str) -> str:
+        return f"({x} IS NOT NULL AND ends_with({x}, 'Unknown'))"
+
+    def empty(x: str) -> str:
+        return f"({x} IS NOT NULL AND length({x}) = 0)"
+
+    def same(x: str, y: str) -> str:
+        return f"({x} IS NOT NULL AND {x} IS NOT DISTINCT FROM {y})"
+
+    flags = {
+        "idfa_match": f"{same(idfa, pid)} AND NOT {blank(idfa)}",
+        "idfa_missing": f"{blank(idfa)} OR {blank(pid)}",
+        "normalized_device_model_match": same(bm, pm),
+        "unknown_device_model": f"{ends_unknown(bm)} OR {ends_unknown(pm)} OR {empty(bm)} OR {empty(pm)}",
+    }
+    out = {name: f"if({test}, 'yes', 'no') AS {name}" for name, test in flags.items()}
+    return [out["idfa_match"], out["idfa_missing"], f"{mt} AS match_type",
+            f"{bm} AS bidrequest_normalized_device_model", out["normalized_device_model_match"],
+            out["unknown_device_model"]]
 
 
 NA_QUALITY = [f"'N/A' AS {c}" for c in (
@@ -59,9 +81,9 @@ def range_where(start: str | None, end: str | None) -> str:
 class ReportSQL:
     """CTE texts of one report definition."""
 
-    def __init__(self, spec: ExperimentSpec, per_hour: bool = False,
+    def __init__(self, report: SimpleNamespace, per_hour: bool = False,
                  start: str | None = None, end: str | None = None):
-        self.s = spec
+        self.s = report
         self.per_hour = per_hour
         self.where = range_where(start, end)
 
@@ -105,7 +127,7 @@ class ReportSQL:
                 f"AND {p}app_platform = '{s.platform}' AND {p}ad_group_type = '{s.ad_group_type}' "
                 f"AND {skan}")
 
-    def _group(self, select: list[str], measures: list[str]) -> str:
+    def _group(self, select: list[str], measures: list[str]) -> tuple[str, str]:
         n = len(select)
         return (f"SELECT {', '.join(select + measures)}",
                 "GROUP BY " + ", ".join(str(i) for i in range(1, n + 1)))
@@ -120,8 +142,7 @@ class ReportSQL:
     def event_rows(self) -> str:
         """One row per credited, in-segment event and matching assignment."""
         select, _, source = self._event_parts()
-        s, b = self.s, "impression__bid__"
-        rev, bound = "customer_revenue_micros", s.revenue_bound
+        rev, bound = "customer_revenue_micros", self.s.revenue_bound
         gated = [
             f"CASE WHEN for_reporting AND {rev} > -{bound} AND {rev} < {bound} THEN {rev} END"
             " AS customer_revenue_micros",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from adfunnel.operators.enrich import assert_unique, bounded, broadcast_if_bounded, is_bounded
+from adfunnel.operators.enrich import assert_unique
 from adfunnel.operators.expand import explode_assignments
 from adfunnel.operators.filters import credited, first_click
 from adfunnel.sources.schemas import ASSIGNMENTS
@@ -35,15 +35,8 @@ def test_credited_and_first_click_drop_null(spark):
     assert [r.f for r in first_click(df, "f").collect()] == [False]
 
 
-def test_bounded_broadcast_and_unique(spark):
+def test_assert_unique(spark):
     dim = spark.createDataFrame([(i, f"n{i}") for i in range(10)], "id long, name string")
-    assert is_bounded(dim, 10) and not is_bounded(dim, 9)
-    assert bounded([dim, dim.limit(3), dim.where("id < 0")], 5) == [False, True, True]
-    hinted = broadcast_if_bounded(dim, 10)
-    fact = spark.createDataFrame([(i,) for i in range(100)], "k long")
-    plan = fact.join(hinted, fact.k == hinted.id, "left")._jdf.queryExecution() \
-        .executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
     assert_unique(dim, ["id"])
     with pytest.raises(ValueError):
         assert_unique(dim.unionByName(dim), ["id"])

@@ -51,14 +51,47 @@ def test_partition_pruning_and_narrow_reads(spark, lake):
         not in events
 
 
+def _final_plan(df):
+    """The adaptive plan that ran: ``df`` itself is collected, not a query on top of it."""
+    df.collect()
+    return _plan(df).split("== Initial Plan ==")[0]
+
+
 def test_shuffle_budget_and_broadcasts(spark, lake):
     facts, dims = read_facts(spark, lake), read_dims(spark, lake)
-    df = experiment_report(facts, dims, SPEC_B, START, END)
-    df.write.format("noop").mode("overwrite").save()
-    plan = _formatted(df)
-    hash_exchanges = re.findall(r"Exchange hashpartitioning", plan)
-    assert len(hash_exchanges) <= 2, plan
-    assert len(re.findall(r"BroadcastHashJoin LeftOuter", plan)) == 4
+    plan = _final_plan(experiment_report(facts, dims, SPEC_B, START, END))
+    assert "isFinalPlan=true" in plan
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2, plan
+    assert len(re.findall(r"BroadcastHashJoin .*LeftOuter", plan)) == 4
+
+
+def test_app_event_segment_reaches_the_reader(spark, lake):
+    facts, dims = read_facts(spark, lake), read_dims(spark, lake)
+    plan = _formatted(experiment_report(facts, dims, SPEC_A, START, END))
+    pushed = [x for x in re.findall(r"PushedFilters: (.*)", plan) if "reeng_click__" in x]
+    assert len(pushed) == 1
+    for value in ("IOS", "user-acquisition"):
+        assert len(re.findall(rf"EqualTo\([a-z_]+,{value}\)", pushed[0])) == 3, pushed
+
+
+def test_a_test_group_is_split_when_joins_are_not_broadcast(spark, lake):
+    facts, dims = read_facts(spark, lake), read_dims(spark, lake)
+    want = experiment_report(facts, dims, SPEC_A, START, END).collect()
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions",
+            "spark.sql.adaptive.enabled")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("-1", "32", "false")):
+            spark.conf.set(k, v)
+        df = experiment_report(facts, dims, SPEC_A, START, END)
+        tasks = df.select("ab_test_group_id", F.spark_partition_id().alias("task")).distinct().collect()
+        got = df.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    groups = {r.ab_test_group_id for r in tasks}
+    assert len({r.task for r in tasks}) > 2 * len(groups)
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_parquet_path_equals_derived_path(spark, lake):

@@ -15,7 +15,7 @@ from adfunnel import SPEC_B, Dims, Facts, experiment_report  # noqa: E402
 from adfunnel.sources.derived import derive_dims, derive_facts  # noqa: E402
 from adfunnel.sources.scan import FACT_TABLES  # noqa: E402
 from conftest import SF_CHECK, SF_SMALL  # noqa: E402
-from oracle.report_sql import ReportSQL  # noqa: E402
+from oracle.report_sql import REPORT_B, ReportSQL  # noqa: E402
 from oracle_check import fingerprint  # noqa: E402
 
 
@@ -88,7 +88,7 @@ def test_hot_group_is_combined_map_side(spark, skewed_lake):
     con = duckdb.connect()
     for n in list(FACT_TABLES) + ["customers", "apps", "ab_test_groups", "campaigns"]:
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{skewed_lake}/{n}/*.parquet')")
-    r = ReportSQL(SPEC_B)
+    r = ReportSQL(REPORT_B)
     doubles = [c for c, t in rep.dtypes if t == "double"]
     sql = (f"SELECT * REPLACE ({', '.join(f'round({c}, 4) AS {c}' for c in doubles)}) "
            f"FROM (WITH {r.ctes()} {r.report()})")
