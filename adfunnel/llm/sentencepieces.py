@@ -68,7 +68,8 @@ class Lattices:
     """Word lattices as flat arrays; the last edge of a node ends with cumulative probability 1.
 
     Per edge: cumulative and log probability, target node (-1 at the word's end), node, first
-    piece, number of pieces. Per node: first edge and character offset in its word.
+    piece, number of pieces, probability. Per node: first edge, character offset in its word,
+    the word's length.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -89,14 +90,14 @@ class Lattices:
         self.by_id[ids] = [v[1] for v in vocabulary.weights.values()]
         self.slots = np.zeros(1 << 20, bool)
         self.slots[self.keys >> np.uint64(44)] = True
+        self.of_edge = [np.zeros(1 << 16, t) for t in (float, float, np.int64, np.int64, np.int32, np.int32, float)]
+        self.of_node = [np.zeros(1 << 16, np.int64) for _ in range(3)]
         self.reset()
 
     def reset(self) -> None:
         self.root: dict[str, int] = {}
         self.codes: dict[int, tuple[int, ...]] = {}  # pieces of fallback edges
-        self.edges = self.nodes = 0
-        self.of_edge = [np.zeros(1 << 16, t) for t in (float, float, np.int64, np.int64, np.int32, np.int32)]
-        self.of_node = [np.zeros(1 << 16, np.int64) for _ in range(2)]
+        self.edges = self.nodes = 0  # the arrays keep their room
 
     def add_all(self, units: list[str]) -> None:
         """Lattices of words not seen before, all at once."""
@@ -163,8 +164,9 @@ class Lattices:
         first[src[heads]] = heads + self.edges
         offset = np.arange(n) - np.repeat(end - size, size)
         base = self.nodes
-        self._append(self.of_edge, self.edges, (cum, logp, np.where(ends, -1, target + base), src + base, code, width))
-        self._append(self.of_node, self.nodes, (first, offset))
+        self._append(self.of_edge, self.edges, (cum, logp, np.where(ends, -1, target + base), src + base, code, width,
+                                                np.exp(logp)))
+        self._append(self.of_node, self.nodes, (first, offset, np.repeat(size, size)))
         self.root.update(zip(units, (end - size + base).tolist()))
         self.edges += len(src)
         self.nodes += n
@@ -177,6 +179,7 @@ class Lattices:
             held[i][at:need] = values
 
     def arrays(self) -> tuple[np.ndarray, ...]:
+        """Edge arrays, then node arrays."""
         return (*self.of_edge, *self.of_node)
 
 
@@ -186,25 +189,30 @@ def extended(h: np.ndarray, char: np.ndarray) -> np.ndarray:
         return mix64(h * np.uint64(0x9E3779B97F4A7C15) + char + np.uint64(1))
 
 
-def uniform(*parts: np.ndarray) -> np.ndarray:
-    """Uniform numbers in (0, 1) hashed from broadcastable integer parts."""
+def hashed(*parts: np.ndarray, h=np.uint64(0x243F6A8885A308D3)) -> np.ndarray:
+    """A hash of broadcastable integer parts; ``h``: the hash of parts before them."""
     with np.errstate(over="ignore"):
-        h = np.uint64(0x243F6A8885A308D3)
         for p in parts:
             h = mix64((h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
-    return ((h >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53
+    return h
+
+
+def uniform(*parts: np.ndarray, **before) -> np.ndarray:
+    """Uniform numbers in (0, 1) hashed from broadcastable integer parts."""
+    return ((hashed(*parts, **before) >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53
 
 
-def draw(lat: tuple, node: np.ndarray, unit: np.ndarray, start: np.ndarray, key: np.ndarray,
-         sample: int) -> tuple[np.ndarray, np.ndarray]:
+def draw(lat: tuple, node: np.ndarray, unit: np.ndarray, start: np.ndarray,
+         state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Random paths from ``node`` to the ends of their words: (unit, edge), in unit order.
 
-    ``start``: character position of each unit in its text; ``key``: its row's seed.
+    ``start``: character position of each unit in its text; ``state``: hash of its row's
+    seed and the sample.
     """
-    cum, _, target, _, _, _, first, offset = lat
+    cum, _, target, _, _, _, _, first, offset, _ = lat
     units, edges = [], []
     while len(node):
-        u = uniform(key, sample, start + offset[node])
+        u = uniform(start + offset[node], h=state)
         e = first[node]
         on = np.flatnonzero(cum[e] < u)
         while len(on):
@@ -214,7 +222,7 @@ def draw(lat: tuple, node: np.ndarray, unit: np.ndarray, start: np.ndarray, key:
         edges.append(e)
         node = target[e]
         on = node >= 0
-        node, unit, start, key = node[on], unit[on], start[on], key[on]
+        node, unit, start, state = node[on], unit[on], start[on], state[on]
     unit = np.concatenate(units) if units else np.zeros(0, np.int64)
     edge = np.concatenate(edges) if edges else np.zeros(0, np.int64)
     order = np.argsort(unit, kind="stable")
@@ -232,11 +240,10 @@ class Search:
 
     def opened(self, lat: tuple, unit: np.ndarray, edge: np.ndarray, value: float, first: int,
                barred: set[int], start: np.ndarray) -> None:
-        _, logp, _, node, _, _, _, offset = lat
+        _, logp, _, node, _, _, prob, _, offset, _ = lat
         lp = logp[edge]
         before = np.concatenate([[0.0], np.cumsum(lp)])
-        p = np.exp(lp)
-        left = 1 - p[first:]
+        left = 1 - prob[edge[first:]]
         if barred:
             left[0] -= sum(float(np.exp(logp[e])) for e in barred)
         left = np.where(lp[first:] == 0.0, 0.0, left)
@@ -273,21 +280,20 @@ def encode_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int):
     if new:
         lattices.add_all(new)
     lat = lattices.arrays()
-    node = np.array([root[u] for u in units], np.int64)
-    length = np.array([len(u) for u in units], np.int64)
+    node = np.fromiter(map(root.__getitem__, units), np.int64, len(units))
+    length = lat[-1][node]
     first = np.array(first)
     start = np.cumsum(length) - length
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     start -= start[first[owner]] if len(owner) else 0
-    seed = keys[owner]
     searches = [Search(int(x)) for x in keys]
-    unit, edge = draw(lat, node, np.arange(len(units)), start, seed, 0)
+    unit, edge = draw(lat, node, np.arange(len(units)), start, hashed(keys, 0)[owner])
     cut = np.searchsorted(unit, first)
     for i, s in enumerate(searches):
         if first[i + 1] > first[i]:
             g = -np.log(-np.log(uniform(keys[i], 999_983)))
             s.opened(lat, unit[cut[i]:cut[i + 1]], edge[cut[i]:cut[i + 1]], float(g), 0, set(), start)
-    _, logp, target, of, piece, width, head, offset = lat
+    _, logp, target, of, piece, width, _, head, offset, _ = lat
     for sample in range(1, k):
         todo = []
         for i, s in enumerate(searches):
@@ -319,7 +325,7 @@ def encode_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int):
         if not todo:
             break
         us, nodes = np.concatenate(us), np.concatenate(nodes)
-        unit, edge = draw(lat, nodes, us, start[us], seed[us], sample)
+        unit, edge = draw(lat, nodes, us, start[us], hashed(keys, sample)[owner[us]])
         for i, value, path, at, barred, chosen in todo:
             s = searches[i]
             pu, pe, _, _ = s.paths[path]
