@@ -4,8 +4,9 @@ Both halves of the vectors are quantised separately by k-means on a bounded samp
 (``SAMPLE`` rows, a parameter); a row's cell is its pair of half codes, and every row is
 indexed. A query orders the centroids of each half by how far their inner product falls
 short of the best one, and walks the pairs by the sum of both distances with a heap until
-the cells it passed hold its budget of rows. Rows of those cells are ranked by the exact
-inner product on the original vectors.
+the cells it passed hold its budget of distinct vectors (copies are ranked but cost nothing,
+so a crowd of them does not keep a query from other cells). All rows of those cells are
+ranked by the exact inner product on the original vectors.
 
 Cells are laid into shards of bounded size (crowded cells are dealt over several by a hash
 of the id); a query is sent once to each shard it visits, queries in bounded groups. The
@@ -38,7 +39,7 @@ LEAST = 2000  # and at least so many
 
 
 def walk(du: np.ndarray, dv: np.ndarray, counts: np.ndarray, budget: int) -> list[int]:
-    """Cells ``u * len(dv) + v`` by ascending ``du[u] + dv[v]`` until they hold ``budget`` rows."""
+    """Cells ``u * len(dv) + v`` by ascending ``du[u] + dv[v]`` until their ``counts`` reach ``budget``."""
     us, vs = np.argsort(du, kind="stable"), np.argsort(dv, kind="stable")
     a, b = du[us].tolist(), dv[vs].tolist()
     us, vs, width = us.tolist(), vs.tolist(), len(dv)
@@ -68,8 +69,7 @@ def search(embeddings: DataFrame, id_col: str, vec_col: str, queries: Column, k:
            share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest rows found for every query row."""
     rows = checkpointed(usable_vectors(embeddings.select(id_col, vec_col), id_col, vec_col, False))
-    n = rows.count()
-    sample = sample_matrix(rows, SAMPLE)
+    sample = sample_matrix(rows.groupBy("vec").agg(F.min("id").alias("id")), SAMPLE)
     half = sample.shape[1] // 2
     cu = kmeans(sample[:, :half], CODES) if half else np.zeros((1, 0))
     cv = kmeans(sample[:, half:], CODES)
@@ -87,9 +87,11 @@ def search(embeddings: DataFrame, id_col: str, vec_col: str, queries: Column, k:
     if not sizes:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     plan = packed(sizes)
+    apart = cells.select("cell", F.xxhash64("vec").alias("v")).distinct().groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    apart = {r["cell"]: r["n"] for r in apart.collect()}
     counts = np.zeros(len(cu) * width, np.int64)
-    counts[list(sizes)] = list(sizes.values())
-    budget = max(least, int(share * n)) + 1
+    counts[list(apart)] = list(apart.values())
+    budget = max(least, int(share * counts.sum())) + 1
     asked = cells.where(queries).select("id", "vec")
     groups = max(1, -(-asked.count() // QUERY_GROUP))
 

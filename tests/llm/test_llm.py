@@ -124,6 +124,31 @@ def test_multi_index(spark):
     assert multiindex.search(df.where("false"), "vec_id", "embedding", F.col("id") == 0).count() == 0
 
 
+def recall(found, ids, x, queries, k):
+    """Share of the exact ``k`` nearest distinct ids that ``found`` (query_id -> ids) holds; at least the ``k``-th score counts."""
+    hits = 0
+    for q in queries:
+        s = {}
+        for i, v in zip(ids, x @ x[ids.index(q)]):
+            s[i] = max(v, s.get(i, -np.inf))
+        del s[q]
+        kth = sorted(s.values())[-k]
+        hits += sum(s[i] >= kth - 1e-9 for i in found[q])
+    return hits / k / len(queries)
+
+
+def test_multi_index_with_a_hot_vector(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 32))
+    x[::3] = x[0]  # a third of all rows
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = [q for q in range(1, 6000, 40) if q % 3]
+    found = defaultdict(list)
+    for r in multiindex.search(df, "vec_id", "embedding", F.col("id").isin(queries), 20, least=50).collect():
+        found[r.query_id].append(r.vec_id)
+    assert recall(found, list(range(6000)), x, queries, 20) >= 0.9
+
+
 def labels_of(spark, rows, label):
     return spark.createDataFrame([(r[0], int(label(r[1]))) for r in rows if r[0] is not None],
                                  "doc_id long, quality int").withColumn("toxic", F.col("quality"))
