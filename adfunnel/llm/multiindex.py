@@ -68,7 +68,8 @@ def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def search(embeddings: DataFrame, id_col: str, vec_col: str, queries: Column, k: int = 20,
            share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest rows found for every query row."""
-    rows = checkpointed(usable_vectors(embeddings.select(id_col, vec_col), id_col, vec_col, False))
+    rows = checkpointed(usable_vectors(embeddings.select(id_col, vec_col), id_col, vec_col, False)
+                        .dropDuplicates(["id", "vec"]))
     sample = sample_matrix(rows.groupBy("vec").agg(F.min("id").alias("id")), SAMPLE)
     half = sample.shape[1] // 2
     cu = kmeans(sample[:, :half], CODES) if half else np.zeros((1, 0))
@@ -126,7 +127,10 @@ def search(embeddings: DataFrame, id_col: str, vec_col: str, queries: Column, k:
         out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
             x, ids = matrix(left.column("vec")), left.column("id").to_numpy()
-            known, of = np.unique(left.column("cell").to_numpy(), return_inverse=True)
+            by_id = np.argsort(ids, kind="stable")
+            x, ids = x[by_id], ids[by_id]
+            head = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # first row of each id
+            known, of = np.unique(left.column("cell").to_numpy()[by_id], return_inverse=True)
             q, qid = matrix(right.column("vec")), right.column("id").to_numpy()
             for lo in range(0, len(q), 256):
                 scores = q[lo:lo + 256] @ x.T
@@ -134,13 +138,16 @@ def search(embeddings: DataFrame, id_col: str, vec_col: str, queries: Column, k:
                     cs = np.frombuffer(right.column("cells")[lo + i].as_py(), np.int32)
                     ok = np.isin(known, cs)[of] & (ids != qid[lo + i])
                     s = np.where(ok, scores[i], -np.inf)
-                    m = min(k, int(ok.sum()))
+                    once = np.maximum.reduceat(s, head)
+                    m = min(k, int((once > -np.inf).sum()))
                     if not m:
                         continue
-                    kth = np.partition(s, len(s) - m)[len(s) - m]
+                    kth = np.partition(once, len(once) - m)[len(once) - m]
                     near = np.flatnonzero(s >= kth - 1e-9 * max(1.0, abs(kth)))
                     exact = exact_products(x[near], q[lo + i])
-                    best = np.lexsort((ids[near], -exact))[:4 * m]
+                    best = np.lexsort((ids[near], -exact))
+                    _, first = np.unique(ids[near][best], return_index=True)
+                    best = best[np.sort(first)[:m]]
                     out.append((np.full(len(best), qid[lo + i]), ids[near][best], exact[best]))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()),

@@ -83,7 +83,8 @@ def packed(counts: dict[int, int]) -> dict[int, tuple[int, int, int]]:
 
 
 def laid_out(cells: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
-    """``cells`` (id, vec, cell) with ``shard``: a crowded cell's rows go to one of its several."""
+    """``cells`` (id, vec, cell) with ``shard``: a crowded cell's rows go to one of its several,
+    by id and vector, so rows of one id are dealt as well."""
     first = np.zeros(max(plan) + 1, np.int64)
     pieces = np.ones(max(plan) + 1, np.int64)
     for cell, (shard, _, n) in plan.items():
@@ -93,7 +94,11 @@ def laid_out(cells: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFra
     def run(batches):
         for batch in batches:
             cell = batch.column(2).to_numpy()
-            turn = mix64(batch.column(0).to_numpy().view(np.uint64)) % pieces[cell].astype(np.uint64)
+            bits = matrix(batch.column(1)).view(np.uint64) if len(cell) else np.zeros((0, 1), np.uint64)
+            odd = mix64(np.arange(bits.shape[1], dtype=np.uint64)) | np.uint64(1)
+            with np.errstate(over="ignore"):
+                row = batch.column(0).to_numpy().view(np.uint64) + mix64((bits * odd).sum(1, dtype=np.uint64))
+            turn = mix64(row) % pieces[cell].astype(np.uint64)
             shard = first[cell] + turn.astype(np.int64) // per
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int32))],
                                              ["id", "vec", "cell", "shard"])

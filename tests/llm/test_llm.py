@@ -139,8 +139,8 @@ def recall(found, ids, x, queries, k):
 
 def test_multi_index_with_a_hot_vector(spark):
     rng = np.random.default_rng(6)
-    x = rng.standard_normal((6000, 32))
-    x[::3] = x[0]  # a third of all rows
+    x = rng.standard_normal((6000, 32)) + 1
+    x[::3] = 1.3  # a third of all rows, passed early by every query
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     queries = [q for q in range(1, 6000, 40) if q % 3]
     found = defaultdict(list)
@@ -149,6 +149,31 @@ def test_multi_index_with_a_hot_vector(spark):
     assert recall(found, list(range(6000)), x, queries, 20) >= 0.9
 
 
+def test_multi_index_counts_repeated_ids_once(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((200, 8))
+    x[1] = 5 * x[0]  # the best partner of 0
+    near = [(1, (x[1] * f).tolist()) for f in np.linspace(0.9, 1, 100)]  # one id, a hundred vectors
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(2 * rows + near, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in multiindex.search(df, "vec_id", "embedding", F.col("id") % 50 == 0, 20, share=1.0).orderBy("rank").collect():
+        got[r.query_id].append((r.vec_id, r.rank))
+    for q in range(0, 200, 50):
+        best = {i: float(v @ x[q]) for i, v in enumerate(x)}
+        for i, v in near:
+            best[i] = max(best[i], float(np.dot(v, x[q])))
+        want = sorted((i for i in best if i != q), key=lambda i: (-best[i], i))[:20]
+        assert got[q] == [(i, n) for n, i in enumerate(want, 1)]
+
+
+def test_rows_of_one_id_are_dealt(spark):
+    x = np.random.default_rng(8).standard_normal((20_000, 2))
+    cells = spark.createDataFrame([(1, v.tolist(), 0) for v in x], "id long, vec array<double>, cell int")
+    shards = multiindex.laid_out(cells, multiindex.packed({0: len(x)})).groupBy("shard").count().collect()
+    assert len(shards) == 3 and max(r["count"] for r in shards) < 9000
+
+
 def labels_of(spark, rows, label):
     return spark.createDataFrame([(r[0], int(label(r[1]))) for r in rows if r[0] is not None],
                                  "doc_id long, quality int").withColumn("toxic", F.col("quality"))
