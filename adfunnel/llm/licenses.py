@@ -1,19 +1,21 @@
 """Licence scan (DataFrame functions only): TF-IDF headers, then directory inheritance.
 
-Every line of every file is compared with the licence templates by sparse TF-IDF cosine.
-Terms are the templates' words; document frequencies count all files. A word outside the
-templates weighs as one seen in a single file, so long lines that merely contain some
-template words score low. Lines whose shared words cannot reach the threshold (the shared
+Every line of every file, and every run of up to ``WRAP`` lines (a wrapped header), is
+compared with the licence templates by sparse TF-IDF cosine. Terms are the templates' words;
+document frequencies count all files. A word outside the templates weighs as much as the
+compared template's words do on (quadratic) average, so long lines that merely contain some
+template words score low, and a header with words of its own scores the same whatever the
+size of the corpus and however common licences are in it. Runs whose shared words cannot reach the threshold (the shared
 part of the template's squared weight bounds the squared cosine) are dropped before words
 are spread over rows; nothing else is.
 
-A file's own licence is its best line's template. Files that state the licence of their
+A file's own licence is its best run's template, its line the run's first. Files that state the licence of their
 directory (``states_directory``) give it to the directory; every file without a licence of
 its own takes that of the nearest ancestor directory which has one, found by joining the
 distinct directories' ancestor paths with the licensed directories.
 
 Defined results: NULL or empty text has no lines; a NULL path neither gives nor takes a
-directory licence; equal scores go to the earlier line, then the template's name; several
+directory licence; equal scores go to the earlier line, the shorter run, then the template's name; several
 licence files of a directory: the higher score, then the smaller path; repeated rows get
 equal results; an empty table gives no rows; input columns named like an output are replaced.
 """
@@ -39,6 +41,7 @@ TEMPLATES = {
 }
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 THRESHOLD = 0.6
+WRAP = 3
 P = "__lic_"
 OUTPUTS = ("own_license", "own_score", "own_line", "license", "inherited_from")
 
@@ -82,32 +85,48 @@ def scan_licenses(files: DataFrame, key: str, path: str, text: str, templates: d
     count = {r["t"]: r["n"] for r in held.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = files.count()  # the frequencies above skip files without text
     idf = {t: math.log((n + 1) / (count.get(t, 0) + 1)) + 1 for t in vocabulary}
-    unseen = math.log((n + 1) / 2) + 1
     weights = _weights(idf, templates)
-
-    line = files.select(F.col(key).alias(P + "key"), F.col(path).alias(P + "path"),
-                        F.posexplode(F.split(F.col(text), "\n")).alias(P + "line", P + "words")) \
-        .withColumn(P + "words", tokens(F.col(P + "words"))) \
-        .where(F.arrays_overlap(P + "words", vocab))
+    foreign = {}  # squared weight of a word outside the templates
+    for name, s in templates.items():
+        terms = re.findall(TOKEN, s.lower())
+        foreign[name] = sum((terms.count(t) * idf[t]) ** 2 for t in set(terms)) / len(set(terms))
+
+    lines = F.split(F.col(text), "\n")
+    line = files.select(F.col(key).alias(P + "key"), F.col(path).alias(P + "path"), F.posexplode(F.arrays_zip(
+        *[F.slice(lines, i + 1, F.greatest(F.size(lines), F.lit(1))).alias(f"l{i}") for i in range(WRAP)])).alias(P + "line", P + "run"))
+    # a run starts and ends with a line that has words of the templates
+    for i in range(WRAP):
+        line = line.withColumn(f"{P}w{i}", tokens(F.col(f"{P}run.l{i}")))
+        if not i:
+            line = line.where(F.arrays_overlap(P + "w0", vocab))
+    runs = [F.when(F.arrays_overlap(f"{P}w{i}", vocab), F.concat(
+        F.col(P + "w0"), *[F.coalesce(f"{P}w{j}", F.array().cast("array<string>")) for j in range(1, i + 1)]))
+        for i in range(WRAP)]
+    line = line.select(P + "key", P + "path", P + "line", F.posexplode(F.array(*runs)).alias(P + "span", P + "words")) \
+        .where(F.col(P + "words").isNotNull())
     reach = None
     for w in weights.values():
         can = _shared(w) >= threshold ** 2
         reach = can if reach is None else reach | can
-    at = [P + "key", P + "path", P + "line"]
+    at = [P + "key", P + "path", P + "line", P + "span"]
     counts = line.where(reach).withColumn("t", F.explode(P + "words")).groupBy(*at, "t") \
         .agg(F.count(F.lit(1)).alias("tf"))
     known = F.create_map(*[x for t, v in idf.items() for x in (F.lit(t), F.lit(v))])
-    weighed = counts.withColumn("w", F.col("tf") * F.coalesce(F.element_at(known, F.col("t")), F.lit(unseen)))
-    norms = weighed.groupBy(*at).agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
+    weighed = counts.withColumn("w", F.col("tf") * F.element_at(known, F.col("t")))  # NULL outside
+    norms = weighed.groupBy(*at).agg(
+        F.sum(F.col("w") * F.col("w")).alias("norm"),
+        F.sum(F.when(F.col("w").isNull(), F.col("tf") * F.col("tf")).otherwise(0)).alias("outside"))
+    square = F.create_map(*[x for name, v in foreign.items() for x in (F.lit(name), F.lit(v))])
     table = spark.createDataFrame([(t, name, v) for name, w in weights.items() for t, v in w.items()],
                                   "t string, template string, v double")
     dots = weighed.join(F.broadcast(table), "t").groupBy(*at, "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     same = [dots[c].eqNullSafe(norms[c]) for c in at]
-    scored = dots.join(norms, same[0] & same[1] & same[2]).select(
-        *[dots[c] for c in at], "template", F.round(F.col("dot") / F.sqrt("norm"), 9).alias("score")) \
+    scored = dots.join(norms, same[0] & same[1] & same[2] & same[3]).select(
+        *[dots[c] for c in at], "template", F.round(F.col("dot") / F.sqrt(
+            F.col("norm") + F.col("outside") * F.element_at(square, F.col("template"))), 9).alias("score")) \
         .where(F.col("score") >= threshold)
     best = scored.groupBy(P + "key", P + "path").agg(
-        F.min(F.struct(-F.col("score"), P + "line", "template")).alias("b")) \
+        F.min(F.struct(-F.col("score"), P + "line", P + "span", "template")).alias("b")) \
         .select(P + "key", P + "path", F.col("b.template").alias("own_license"),
                 (-F.col("b.col1")).alias("own_score"), F.col("b." + P + "line").alias("own_line"))
     best = checkpointed(best)
