@@ -112,7 +112,7 @@ def scan_licenses(files: DataFrame, key: str, path: str, text: str, templates: d
     counts = line.where(reach).withColumn("t", F.explode(P + "words")).groupBy(*at, "t") \
         .agg(F.count(F.lit(1)).alias("tf"))
     known = F.create_map(*[x for t, v in idf.items() for x in (F.lit(t), F.lit(v))])
-    weighed = counts.withColumn("w", F.col("tf") * F.element_at(known, F.col("t")))  # NULL outside
+    weighed = checkpointed(counts).withColumn("w", F.col("tf") * F.element_at(known, F.col("t")))  # NULL outside
     norms = weighed.groupBy(*at).agg(
         F.sum(F.col("w") * F.col("w")).alias("norm"),
         F.sum(F.when(F.col("w").isNull(), F.col("tf") * F.col("tf")).otherwise(0)).alias("outside"))
