@@ -11,6 +11,9 @@
 * Selection: a source's documents, in seeded order, are one stream of tokens cut into
   blocks. A quota takes every block as often as it covers them all, then the blocks with
   the smallest seeded hashes.
+* Settling (``settle``; the pipeline's mix): where whole blocks miss a source's target by
+  more than a word, its blocks are taken in the same order up to the target's words, the
+  last of them in part. Seats and placements still tell of whole blocks.
 
 Only the per-source and per-block tables (their size is set by the parameters, not by the
 data) are gathered; documents get their place in the stream from prefix sums over 4096
@@ -81,7 +84,8 @@ def source_targets(per_source: DataFrame, total: int, weights: tuple[int, ...],
 
 def mix_sources(docs: DataFrame, key: str, source: str, size: Column, *,
                 weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2,
-                shards: int = 40, blocks_per_shard: int = 1000, seed: str = "mix") -> Mix:
+                shards: int = 40, blocks_per_shard: int = 1000, seed: str = "mix",
+                settle: bool = False) -> Mix:
     """Mix ``docs`` (any columns; ``key`` seeds the order) to the target weights."""
     keep = [c for c in docs.columns if c not in OUTPUTS]
     rows = docs.withColumn(P + "size", F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0))) \
@@ -118,18 +122,30 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: Column, *,
     cut = cut.withColumn("turn", F.row_number().over(turn))
     cut = cut.withColumn("times", F.expr("quota div n_blocks + int(turn <= quota % n_blocks)"))
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
+    cut = cut.withColumn("part", F.lit(0).cast("long"))
+    if settle:
+        won = F.sum(F.col("times") * length).over(Window.partitionBy("sid"))
+        earlier = Window.partitionBy("sid").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+        cut = cut.withColumn("words", F.round("target").cast("long")) \
+            .withColumn("open", F.abs(F.col("target") - won) > 1) \
+            .withColumn("rest", F.expr("words % source_size") - F.coalesce(F.sum(length).over(earlier), F.lit(0)))
+        cut = cut.withColumn("times", F.when(F.col("open"), F.expr("words div source_size")
+                                             + (F.col("rest") >= length).cast("long")).otherwise(F.col("times"))) \
+            .withColumn("part", F.when(F.col("open") & (F.col("rest") > 0) & (F.col("rest") < length), F.col("rest"))
+                        .otherwise(F.col("part")))
     along = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("before", F.coalesce(F.sum(F.col("times") * length).over(along), F.lit(0)))
+    cut = cut.withColumn("before", F.coalesce(F.sum(F.col("times") * length + F.col("part")).over(along), F.lit(0)))
     blocks = checkpointed(cut.select("sid", "source", "n_blocks", "block", "turn", "times", "before",
-                                     (F.col("times") * length).alias("taken")))
+                                     "part", (F.col("times") * length + F.col("part")).alias("taken")))
 
     cells = blocks.groupBy("sid").agg(
-        F.sort_array(F.collect_list(F.struct("block", "times", "before"))).alias(P + "cells"),
+        F.sort_array(F.collect_list(F.struct("block", "times", "before", "part"))).alias(P + "cells"),
         F.sum("taken").alias(P + "all"))
     lookup = targets.join(cells, "sid", "left").select(
         F.col("source").alias(P + "source"), F.col("source_size").alias(P + "source_size"),
         F.col("target").alias(P + "target"),
         F.col(P + "cells.times").alias(P + "times"), F.col(P + "cells.before").alias(P + "before"),
+        F.col(P + "cells.part").alias(P + "parts"),
         F.coalesce(P + "all", F.lit(0)).alias(P + "all"))
     if n_sources <= MAX_BROADCAST_SOURCES:  # at most that many rows, shards * blocks_per_shard cells
         lookup = F.broadcast(lookup)
@@ -148,14 +164,15 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: Column, *,
 
     def upto(at: str) -> Column:  # tokens taken from the stream before position ``at``
         i = f"cast({P}{at} div {block} AS int)"
-        return F.expr(f"coalesce(get({P}before, {i}) + get({P}times, {i}) * ({P}{at} % {block}), {P}all)")
+        return F.expr(f"coalesce(get({P}before, {i}) + get({P}times, {i}) * ({P}{at} % {block})"
+                      f" + least({P}{at} % {block}, get({P}parts, {i})), {P}all)")
 
     out = placed.withColumn("taken", upto("end") - upto("begin"))
     names = [F.col(f"`{c}`") for c in keep]
     documents = out.select(*names, F.col(P + "size").alias("size"),
                            F.col(P + "source_size").alias("source_size"),
                            F.col(P + "target").alias("target"), "taken",
-                           F.col(P + "begin"), F.col(P + "times"))
+                           F.col(P + "begin"), F.col(P + "times"), F.col(P + "parts"))
     return Mix(targets.join(quotas, "sid", "left").fillna({"quota": 0}), seats, blocks, documents, block)
 
 
@@ -167,28 +184,34 @@ def document_mix(documents: DataFrame, **params) -> DataFrame:
 
 
 def mixed_texts(documents: DataFrame, **params) -> DataFrame:
-    """The mix itself: rows of ``documents``, one per document and epoch it is taken in.
+    """The mix itself, settled: rows of ``documents``, one per document and epoch it is taken in.
 
     ``text`` holds the words of the taken blocks (the untouched text where all of them
     are) and ``n_chars``, where present, its length.
     """
-    mix = mix_sources(documents, "doc_id", "source", word_count(F.col("text")), **params)
+    mix = mix_sources(documents, "doc_id", "source", word_count(F.col("text")), settle=True, **params)
     epochs = params.get("epochs", 2)
     b = mix.block_tokens
-    d = mix.documents.where("taken > 0").withColumn(P + "span", F.expr(
-        f"slice({P}times, cast({P}begin div {b} AS int) + 1, "
-        f"cast(({P}begin + size - 1) div {b} - {P}begin div {b} AS int) + 1)"))
+    d = mix.documents.where("taken > 0")
+    for name, of in (("span", "times"), ("edge", "parts")):
+        d = d.withColumn(P + name, F.expr(
+            f"slice({P}{of}, cast({P}begin div {b} AS int) + 1, "
+            f"cast(({P}begin + size - 1) div {b} - {P}begin div {b} AS int) + 1)"))
     d = d.withColumn(P + "epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))) \
-         .where(F.array_max(P + "span") >= F.col(P + "epoch"))
+         .where((F.array_max(P + "span") >= F.col(P + "epoch"))
+                | F.expr(f"exists({P}edge, x -> x > 0)"))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
 
     def taken(w: Column, i: Column) -> Column:
         at = F.floor((F.col(P + "begin") % b + i) / b).cast("int")
-        return F.get(F.col(P + "span"), at) >= F.col(P + "epoch")
+        again = (F.col(P + "begin") + i) % b < F.get(F.col(P + "edge"), at)
+        return F.get(F.col(P + "span"), at) + again.cast("long") >= F.col(P + "epoch")
 
     whole = F.array_min(P + "span") >= F.col(P + "epoch")
-    d = d.withColumn("text", F.when(whole, F.col("text"))
-                     .otherwise(F.array_join(F.filter(words, taken), " ")))
+    d = d.withColumn(P + "some", F.when(~whole, F.filter(words, taken))) \
+         .where(whole | (F.size(P + "some") > 0))
+    d = d.withColumn("text", F.when(whole | (F.size(P + "some") == F.col("size")), F.col("text"))
+                     .otherwise(F.array_join(P + "some", " ")))
     if "n_chars" in documents.columns:
         d = d.withColumn("n_chars", F.length("text").cast("long"))
     return d.select(*documents.columns)

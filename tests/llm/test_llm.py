@@ -62,6 +62,25 @@ def test_mix(docs, rows, empty, spark):
     assert texts.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == out.taken.sum()
 
 
+@pytest.mark.parametrize("blocks", [5, 7, 60])
+def test_mixed_texts_meet_the_targets_of_rare_sources(spark, blocks):
+    sizes = {"a": [400] * 5, "b": [300] * 4, "rare": [7, 5], "one": [330], "few": [90, 25]}
+    rows = [(n * 10 + i, " ".join(f"{s}{i}w{j}" for j in range(k)), s)
+            for n, (s, ks) in enumerate(sizes.items()) for i, k in enumerate(ks)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = {"shards": 2, "blocks_per_shard": blocks}
+    target = {r.source: r.target for r in mixing.mix_sources(
+        docs, "doc_id", "source", mixing.word_count(F.col("text")), **mix).sources.collect()}
+    taken, times = defaultdict(int), defaultdict(int)
+    for r in mixing.mixed_texts(docs, **mix).collect():
+        taken[r.source] += len(r.text.split())
+        for w in r.text.split():
+            times[w] += 1
+        assert r.text
+    assert max(times.values()) <= 2 and set(times) <= {w for r in rows for w in r[1].split()}
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items()), (taken, target)
+
+
 def test_mix_sql():
     con = duckdb.connect()
     con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
