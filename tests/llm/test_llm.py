@@ -108,7 +108,8 @@ def test_licence_headers_at_two_corpus_sizes(spark, n):
     heads = ["Copyright Acme. Released under the MIT License.",
              "# Acme tools: Licensed under the Apache License, Version 2.0.",
              "intro\nThis work is licensed under the GNU General\nPublic License, version 3.\ncode",
-             "This Source Code Form is subject to\nthe terms of the Mozilla\nPublic License, v. 2.0."]
+             "This Source Code Form is subject to\nthe terms of the Mozilla\nPublic License, v. 2.0.",
+             "Redistribution and use in source\nand binary forms, with or\nwithout modification, are permitted."]
     own = F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("id") + 1).cast("int"))
     prose = F.when(F.col("id") % 8 == 0, "Released under the MIT License.") \
         .when(F.col("id") % 8 == 1, "Licensed under the Apache License, Version 2.0.") \
@@ -117,8 +118,9 @@ def test_licence_headers_at_two_corpus_sizes(spark, n):
         .withColumn("path", F.concat(F.lit("/"), F.col("id").cast("string"), F.lit("/f")))
     out = licenses.scan_licenses(files, "id", "path", "text")
     got = {r.id: (r.own_license, r.own_line) for r in out.where(f"id < {len(heads)}").collect()}
-    assert got == {0: ("MIT", 0), 1: ("Apache-2.0", 0), 2: ("GPL-3.0", 1), 3: ("MPL-2.0", 0)}
-    assert out.where("id >= 4 AND id % 8 > 1 AND own_license IS NOT NULL").count() == 0
+    assert got == {0: ("MIT", 0), 1: ("Apache-2.0", 0), 2: ("GPL-3.0", 1), 3: ("MPL-2.0", 0),
+                   4: ("BSD-3-Clause", 0)}
+    assert out.where("id >= 5 AND id % 8 > 1 AND own_license IS NOT NULL").count() == 0
 
 
 def vectors(spark):
