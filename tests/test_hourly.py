@@ -10,7 +10,7 @@ from adfunnel.sources import read_table
 from adfunnel.sources.derived import derive_dims, derive_facts
 from adfunnel.streaming import catch_up, report_for_hour, report_template, written_hours
 
-from conftest import SF_SMALL  # noqa: E402
+from tables_at import SF_SMALL  # noqa: E402
 
 
 def test_catch_up_writes_each_pending_hour_once(spark, tmp_path):

@@ -65,7 +65,7 @@ def test_enrich_names_a_missing_dimension(spark):
 def test_duplicate_free_assignments_do_not_fan_out(spark):
     from adfunnel import SPEC_A
     from adfunnel.sources.derived import derive_facts
-    from conftest import SF_SMALL
+    from tables_at import SF_SMALL
     imp = derive_facts(spark, SF_SMALL).impressions
     arr = F.col("bid__bid_request__ab_test_assignments")
     hits = F.size(F.filter(arr, lambda a: a["id"] == SPEC_A.test_id))

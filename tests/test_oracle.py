@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from tables_at import SF_SMALL
 from oracle_check import compare, duck
 
 SQL = entry.oracle_sql()

@@ -9,7 +9,7 @@ from adfunnel import SPEC_A, SPEC_B, experiment_report, write_hour
 from adfunnel.sources.derived import derive_dims, derive_facts
 from adfunnel.sources.scan import FACT_TABLES, read_dims, read_facts
 
-from conftest import SF_SMALL  # noqa: E402
+from tables_at import SF_SMALL  # noqa: E402
 
 START, END = "2024-01-03T00", "2024-01-05T00"
 

@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from adfunnel import SPEC_B, Dims, Facts, experiment_report  # noqa: E402
 from adfunnel.sources.derived import derive_dims, derive_facts  # noqa: E402
 from adfunnel.sources.scan import FACT_TABLES  # noqa: E402
-from conftest import SF_CHECK, SF_SMALL  # noqa: E402
+from tables_at import SF_CHECK, SF_SMALL  # noqa: E402
 from oracle.report_sql import REPORT_B, ReportSQL  # noqa: E402
 from oracle_check import fingerprint  # noqa: E402
 
