@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adfunnel.llm import (
-    blocktopk, exactdup, licenses, mixing, multiindex, neardup, quality, sentencepieces, sharding, toxicity,
+    blocktopk, divergence, exactdup, licenses, mixing, multiindex, neardup, packing, quality, sentencepieces, sharding,
+    toxicity, whitening,
 )
 from adfunnel.llm.common import table
 
@@ -53,6 +54,18 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exactdup.document_dedup(table(spark, sf, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened_vectors(table(spark, sf, "embeddings"))
+
+
+def op13_bin_completion(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.document_packing(table(spark, sf, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_multi_index": op1_multi_index,
@@ -65,8 +78,11 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_gumbel_pieces": op8_gumbel_pieces,
         "op9_quality_votes": op9_quality_votes,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_whitening": op12_whitening,
+        "op13_bin_completion": op13_bin_completion,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.SQL}
+    return {"op2_mix_sources": mixing.SQL, "op11_source_divergence": divergence.SQL}

@@ -98,6 +98,11 @@ def letter_runs(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return token_spans(_IS_LETTER[buf])
 
 
+def letter_bytes(buf: np.ndarray) -> np.ndarray:
+    """The bytes inside ``letter_runs``, one after another."""
+    return buf[_IS_LETTER[buf]]
+
+
 def per_row(starts: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Index bounds in the sorted positions ``at`` of every row (length rows + 1)."""
     return np.searchsorted(at, starts)
