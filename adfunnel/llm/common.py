@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,10 +35,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files of results that nothing refers to any more.
+
+    The cleaner acts when the driver collects its garbage, which a driver with little to do
+    may not do for hours; jobs of many rounds would fill the executors' disks meanwhile.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _release(df.sparkSession)
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -48,6 +61,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adfunnel.llm.bincompletion import completed
-from adfunnel.llm.common import stored
+from adfunnel.llm.common import shuffle_partitions, stored
 from adfunnel.llm.textbytes import lowered, text_runs, words
 
 CAPACITY = 2048
@@ -226,7 +226,9 @@ def placements(items: DataFrame, capacity: int = CAPACITY, shard_bins: int = SHA
         shards = -(-tokens // (capacity * shard_bins))
         shards = max(1, min(shards, most or shards))
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(shards)).cast("long"))
-        placed = stored(dealt.groupBy("shard").applyInArrow(_pack(capacity, turn, reopened if shards > 1 else 0), PLACED))
+        # a shard is little data but a long search, so tasks are not merged by size
+        tasks = min(shards, 4 * shuffle_partitions(items.sparkSession))
+        placed = stored(dealt.repartition(tasks, "shard").groupBy("shard").applyInArrow(_pack(capacity, turn, reopened if shards > 1 else 0), PLACED))
         out = out.union(placed.where(~F.col("again")).select("uid", "sequence_id", "offset"))
         left, turn = placed.where("again").select("uid", "length"), turn + 1
         most = shards // 2

@@ -116,7 +116,7 @@ def triangular_factor(fit: DataFrame, n: int, sums: list[int]) -> np.ndarray:
         if r is not None:
             yield pa.RecordBatch.from_pydict(row(TaskContext.get().partitionId(), r))
 
-    def reduce_factors(key, table: pa.Table) -> pa.Table:
+    def reduce_factors(key, table):
         table = table.sort_by("task")
         return pa.table(row(key[0].as_py(), _triangle(matrix(table["r"]).reshape(-1, d, d))))
 

@@ -148,20 +148,18 @@ def test_whitening_without_variance_or_rows(spark):
 def test_whitening_reduces_many_blocks_and_large_numbers(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) * 2 ** 20 for v in r]) for i, r in enumerate(rng.normal(size=(900, 3)))]
-    df = vectors(spark, rows).repartition(40)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "40")  # more blocks than are reduced together
-    try:
-        got = whitening.whitened_vectors(df).toPandas()
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    df = vectors(spark, rows)
+    got = whitening.whitened_vectors(df).toPandas()
     x = np.floor(np.float32([r[1] for r in rows]).astype(float) * 64).astype(np.int64) + 1_000_000
     exact = {i: sum(int(v) ** 2 for v in row.astype(object) * len(x) - x.sum(0).astype(object)) for i, row in enumerate(x)}
     assert all(int(e) == exact[i] for i, e in zip(got.vec_id, got.deviation_exact))
     assert got.identity_error.max() < 1e-9
     big = [v for v in exact.values() if v >= 2 ** 63]
     assert got.deviation.isna().sum() == 3 * len(big)
+    fit = whitening.integer_vectors(df, "vec_id", "embedding").select("x").repartition(40)
+    r = whitening.triangular_factor(fit, len(x), [int(v) for v in x.sum(0)])  # more blocks than fit one reduction
+    y = (x - x.mean(0)).astype(float)
+    assert np.allclose(r.T @ r, y.T @ y, rtol=1e-9)
 
 
 def fewest(items, capacity):

@@ -272,9 +272,9 @@ def test_near_duplicates(docs, rows, empty, few, monkeypatch):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])  # 1: every group takes the distributed minimum
-def test_repeated_strings(docs, rows, empty, crowd, monkeypatch):
-    monkeypatch.setattr(exactdup, "CROWD", crowd)
+@pytest.mark.parametrize("batch", [2000, 1])  # 1: every group takes the distributed minimum
+def test_repeated_strings(docs, rows, empty, batch, monkeypatch):
+    monkeypatch.setattr(exactdup, "BATCH", batch)
     seen, want = set(), {}
     for i, t in sorted({r[0]: r[1] for r in rows if r[0] is not None}.items()):
         data = (t or "").encode()
@@ -323,3 +323,33 @@ def test_segmentations_follow_the_lattice():
         total += sum(np.exp(x[1]) / x[3] for x in r)
     assert max(abs(seen[k] / n - p) for k, p in prob.items()) < 0.04
     assert abs(total / n - 1) < 0.05  # inclusion scores make the estimate of the whole unbiased
+
+
+def dedup_rows(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in exactdup.document_dedup(df).collect())
+
+
+def test_one_id_with_two_texts_is_two_documents(spark):
+    rng = random.Random(9)
+    a, b, c = ("".join(rng.choices("abcdefgh ", k=300)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a[:200] + c + b[50:]), (3, c[40:260])]
+    got = dedup_rows(spark, rows)
+    assert got == dedup_rows(spark, rows[::-1])
+    assert [r[:3] for r in got] == [(1, 0, 0), (1, 0, 0), (2, 450, 2), (3, 220, 1)]
+
+
+def test_the_suffix_order_decides(spark, monkeypatch):
+    rng = random.Random(10)
+    passage = "".join(rng.choices("abcdefgh ", k=180))
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=90)) + f"{chr(65 + i)}{passage}{chr(65 + i)}"
+             + "".join(rng.choices("abcdefgh ", k=90))) for i in range(12)]
+    assert [r[1] for r in dedup_rows(spark, rows)] == [0] + [180] * 11
+
+    def shuffled(text):
+        order = suffix_order(text)
+        random.Random(1).shuffle(order)
+        return order
+
+    monkeypatch.setattr(exactdup, "suffix_order", shuffled)
+    assert [r[1] for r in dedup_rows(spark, rows)] != [0] + [180] * 11
