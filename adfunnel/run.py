@@ -15,8 +15,8 @@ from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from adfunnel.functions.hours import dt_add
-from adfunnel.sources.scan import read_dims, read_facts
+from adfunnel.functions.hours import dt_add, dt_hours
+from adfunnel.sources.scan import check_hours, read_dims, read_facts
 from adfunnel.spec import SPEC_A, SPEC_B
 from adfunnel.streaming.hourly import catch_up, run_hours
 
@@ -49,8 +49,10 @@ def main(argv: list[str] | None = None) -> None:
     facts, dims = read_facts(spark, args.facts), read_dims(spark, args.dims, names)
     end = args.end or dt_add(args.dt, 1)
     if args.catch_up:
-        catch_up(spark, facts, dims, spec, args.dt, end, args.sink)
+        catch_up(spark, facts, dims, spec, args.dt, end, args.sink,
+                 check=lambda hours: check_hours(spark, args.facts, hours))
     else:
+        check_hours(spark, args.facts, dt_hours(args.dt, end))
         run_hours(facts, dims, spec, args.dt, end, args.sink)
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,7 @@ from adfunnel.spec import Dims, Facts
 
 FACT_TABLES = tuple(FACT_SCHEMAS)
 DIM_TABLES = tuple(DIM_SCHEMAS)
+CHECKED_AT_ONCE = 8
 
 
 def hour_range(df: DataFrame, start: str | None, end: str | None = None,
@@ -34,15 +38,61 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Parquet read of one fact or dimension table with its narrow schema.
 
     Raises when the files lack a needed column or hold it with another type: a forced
-    schema alone would read such a column as NULL.
+    schema alone would read such a column as NULL. A dimension's files are all looked at;
+    of a fact table one, its hours are checked by :func:`check_hours`.
     """
     schema = FACT_SCHEMAS.get(name) or DIM_SCHEMAS[name]
-    problems = missing_fields(schema, spark.read.parquet(path).schema)
+    problems = file_problems(spark, path, schema, merge=name in DIM_SCHEMAS)
     if problems:
         raise ValueError(f"{name} at {path}: {'; '.join(problems)}")
     return spark.read.schema(schema).parquet(path)
 
 
+def file_problems(spark: SparkSession, path: str, needed: T.StructType, merge: bool = True) -> list[str]:
+    """What the Parquet files below ``path`` lack of ``needed``, from their footers alone.
+
+    With ``merge`` a Spark job reads the footers of all files; columns whose type differs
+    between them are a problem as well.
+    """
+    try:
+        found = spark.read.option("mergeSchema", merge).parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return []  # a folder without files
+        raise
+    except (PySparkException, Py4JJavaError) as e:
+        merging = [line for line in str(e).splitlines() if "CANNOT_MERGE" in line]
+        if not merging:
+            raise
+        return [f"files without a common schema: {merging[0].strip()}"]
+    return missing_fields(needed, found)
+
+
+def check_hours(spark: SparkSession, root: str, hours: Iterable[str],
+                tables: dict[str, str] | None = None) -> None:
+    """Raise a ValueError that names every fact table, hour and column at odds with the schemas.
+
+    Only the footers of the named hours are read, hour by hour in Spark jobs (a few at a
+    time); hours that have not landed are left alone. An hour is judged by all its files
+    together, so a column that only some of an hour's files lack is not found.
+    """
+    paths = {name: f"{root}/{name}" for name in FACT_TABLES} | (tables or {})
+
+    def check(at: tuple[str, str]) -> list[str]:
+        name, hour = at
+        needed = T.StructType([f for f in FACT_SCHEMAS[name].fields if f.name != "dt"])
+        try:
+            problems = file_problems(spark, f"{paths[name]}/dt={hour}", needed)
+        except AnalysisException:
+            return []  # nothing landed
+        return [f"{name} hour {hour}: {p}" for p in problems]
+
+    with ThreadPoolExecutor(CHECKED_AT_ONCE) as pool:
+        problems = [p for found in pool.map(check, [(n, h) for h in hours for n in FACT_TABLES]) for p in found]
+    if problems:
+        raise ValueError("; ".join(problems))
+
+
 def missing_fields(needed: T.DataType, found: T.DataType, where: str = "") -> list[str]:
     """What ``found`` lacks of ``needed``; further columns and fields do not matter."""
     if isinstance(needed, T.ArrayType) and isinstance(found, T.ArrayType):

@@ -9,19 +9,19 @@ re-run, or a retry after executor loss, replaces exactly those hours.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfunnel.functions.hours import dt_add
+from adfunnel.functions.hours import dt_hours
 from adfunnel.plans.report import experiment_report
+from adfunnel.sources.landed import LOG_SCHEMA, changed_hours, landed_files, last_manifests, read_log
 from adfunnel.sources.sink import write_hours
 from adfunnel.spec import Dims, ExperimentSpec, Facts
 
 FACT_NAMES = ("impressions", "ad_clicks", "view_clicks", "installs", "app_events")
-LOG_SCHEMA = "dt string, spec string, tables array<string>"
 
 
 def hourly_report(facts: Facts, dims: Dims, spec: ExperimentSpec, start: str,
@@ -51,15 +51,7 @@ def run_hours(facts: Facts, dims: Dims, spec: ExperimentSpec, start: str, end: s
               sink: str) -> None:
     """Compute and write the hourly reports of ``[start, end)``; hours without a report
     row are cleared in the sink."""
-    write_hours(hourly_report(facts, dims, spec, start, end), sink, hours=hours_between(start, end))
-
-
-def hours_between(start: str, end: str) -> list[str]:
-    out, at = [], start
-    while at < end:
-        out.append(at)
-        at = dt_add(at, 1)
-    return out
+    write_hours(hourly_report(facts, dims, spec, start, end), sink, hours=dt_hours(start, end))
 
 
 def spec_identity(spec: ExperimentSpec) -> str:
@@ -70,73 +62,51 @@ def spec_identity(spec: ExperimentSpec) -> str:
 
 def _log_path(sink: str) -> str:
     # Leading underscore: readers of the report skip it.
-    return f"{sink}/_processed_hours"
-
-
-def _log(spark: SparkSession, sink: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(LOG_SCHEMA).parquet(_log_path(sink))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None  # nothing processed yet
-
-
-def _seen(spark: SparkSession, sink: str, spec: ExperimentSpec) -> dict[str, set[str]]:
-    """Hour -> fact tables that had rows when the hour was last reported."""
-    log = _log(spark, sink)
-    if log is None:
-        return {}
-    out: dict[str, set[str]] = {}
-    for r in log.groupBy("dt", "spec").agg(F.array_distinct(F.flatten(F.collect_list("tables")))
-                                           .alias("tables")).collect():  # one row per hour
-        if r.spec != spec_identity(spec):
-            raise ValueError(f"{sink} holds the reports of another experiment ({r.spec}); "
-                             "give each experiment its own sink")
-        out[r.dt] = set(r.tables)
-    return out
+    return f"{sink}/_landed_files"
 
 
 def written_hours(spark: SparkSession, sink: str) -> set[str]:
     """Hours already processed into the sink, including hours whose report was empty
     (one small row per hour reaches the driver)."""
-    log = _log(spark, sink)
+    log = read_log(spark, _log_path(sink))
     return set() if log is None else {r.dt for r in log.select("dt").distinct().collect()}
 
 
 def catch_up(spark: SparkSession, facts: Facts, dims: Dims, spec: ExperimentSpec,
-             start: str, end: str, sink: str) -> list[str]:
+             start: str, end: str, sink: str, check: Callable[[list[str]], None] | None = None) -> list[str]:
     """Write the hours of ``[start, end)`` whose facts are not (fully) in their report yet.
 
-    Returns the hours written. The log keeps, per hour, the fact tables that had rows when
-    the hour was reported; an hour is pending while a table has rows that the log does not
-    name, so a table that lands late gets its hour reported anew. Hours reported from all
-    five tables are left out of the scans by a partition filter. Only hours and table names
-    (a few rows per hour) reach the driver. A sink belongs to one experiment.
-
-    More rows of a table that had already landed are not noticed: report such an hour with
-    :func:`run_hours`.
+    Returns the hours written. The sink keeps, per hour, the manifest of the fact files that
+    its report was made from; an hour is pending while a file has landed, changed or gone
+    since, be it of a new table or one more file of a table that had landed. ``check`` is
+    called with the pending hours before anything is written (for example
+    ``lambda hours: check_hours(spark, root, hours)``). Manifests are compared in Spark;
+    only hours (one row each) reach the driver. A sink belongs to one experiment.
     """
-    seen = _seen(spark, sink, spec)
-    complete = [h for h, tables in seen.items() if len(tables) == len(FACT_NAMES) and start <= h < end]
-    landed = None
-    for name in FACT_NAMES:
-        df = getattr(facts, name).where((F.col("dt") >= start) & (F.col("dt") < end))
-        if complete:
-            df = df.where(~F.col("dt").isin(complete))
-        hours = df.select("dt", F.lit(name).alias("name"))
-        landed = hours if landed is None else landed.union(hours)
-    present: dict[str, set[str]] = {}
-    for r in landed.distinct().collect():
-        present.setdefault(r.dt, set()).add(r.name)
-    pending = sorted(h for h, tables in present.items() if tables - seen.get(h, set()))
+    log = read_log(spark, _log_path(sink))
+    run = 0
+    if log is not None:
+        seen = log.groupBy("spec").agg(F.max("run").alias("run")).collect()  # one row
+        others = [r.spec for r in seen if r.spec != spec_identity(spec)]
+        if others:
+            raise ValueError(f"{sink} holds the reports of another experiment ({others[0]}); "
+                             "give each experiment its own sink")
+        run = max((r.run for r in seen), default=-1) + 1
+        log = last_manifests(log.where((F.col("dt") >= start) & (F.col("dt") < end)))
+    landed = landed_files(facts, FACT_NAMES, start, end)
+    pending = changed_hours(landed, log)
     if not pending:
         return []
+    if check:
+        check(pending)
     keep = Facts(**{name: getattr(facts, name).where(F.col("dt").isin(pending))
                     for name in FACT_NAMES})
     write_hours(hourly_report(keep, dims, spec, pending[0], end), sink, hours=pending)
-    # Logged only after the report hours are committed: a failure before this
-    # point leaves them pending, and the rerun overwrites them.
-    spark.createDataFrame([(h, spec_identity(spec), sorted(present[h])) for h in pending], LOG_SCHEMA) \
-        .coalesce(1).write.mode("append").parquet(_log_path(sink))
+    # Logged only after the report hours are committed: a failure before this point leaves
+    # them pending, and the rerun overwrites them. An hour without a file left is logged
+    # with an empty manifest.
+    hours = spark.createDataFrame([(h,) for h in pending], "dt string")
+    manifest = hours.join(landed, "dt", "left").withColumns({"spec": F.lit(spec_identity(spec)), "run": F.lit(run)})
+    manifest.select(*[c.split(" ")[0] for c in LOG_SCHEMA.split(", ")]).coalesce(1) \
+        .write.mode("append").parquet(_log_path(sink))
     return pending

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from adfunnel import SPEC_A, SPEC_B, experiment_report, write_hours
-from adfunnel.sources import read_table
+from adfunnel.sources import check_hours, read_facts, read_table
+from adfunnel.functions.hours import dt_hours
+from adfunnel.sources.scan import FACT_TABLES, hour_range
 from adfunnel.sources.derived import derive_dims, derive_facts
 from adfunnel.streaming import catch_up, report_for_hour, report_template, written_hours
 
@@ -103,3 +105,84 @@ def test_renamed_column_raises(spark, tmp_path):
     facts.installs.withColumnRenamed("pod_device_model", "device_model").limit(5).write.parquet(path)
     with pytest.raises(ValueError, match="no column pod_device_model"):
         read_table(spark, path, "installs")
+
+
+HOURS = ("2024-01-02T00", "2024-01-02T06")
+
+
+def lake(spark, root):
+    """The derived facts of a few hours as tables partitioned by hour."""
+    facts = derive_facts(spark, SF_SMALL)
+    for name in FACT_TABLES:
+        hour_range(getattr(facts, name), *HOURS).coalesce(1).write.partitionBy("dt").parquet(f"{root}/{name}")
+
+
+def one_hour_of(spark, root, name):
+    return sorted(p.name.removeprefix("dt=") for p in (root / name).glob("dt=*"))[0]
+
+
+def test_late_file_of_a_landed_table_gets_its_hour_reported_again(spark, tmp_path):
+    root, sink = tmp_path / "facts", str(tmp_path / "sink")
+    lake(spark, root)
+    dims = derive_dims(spark, SF_SMALL)
+    first = catch_up(spark, read_facts(spark, str(root)), dims, SPEC_A, *HOURS, sink)
+    assert first and catch_up(spark, read_facts(spark, str(root)), dims, SPEC_A, *HOURS, sink) == []
+    hour = one_hour_of(spark, root, "installs")
+    more = read_table(spark, str(root / "installs"), "installs").where(F.col("dt") == hour).drop("dt")
+    more.coalesce(1).write.mode("append").parquet(str(root / "installs" / f"dt={hour}"))
+    facts = read_facts(spark, str(root))
+    assert catch_up(spark, facts, dims, SPEC_A, *HOURS, sink) == [hour]
+    direct = experiment_report(facts, dims, SPEC_A, *HOURS, per_hour=True)
+    written = spark.read.parquet(sink).select(direct.columns)
+    assert written.exceptAll(direct).count() == 0 and direct.exceptAll(written).count() == 0
+    # a file taken back counts as well, and so does an hour of which nothing is left
+    for f in (root / "installs" / f"dt={hour}").glob("*.parquet"):
+        f.unlink()
+    assert catch_up(spark, read_facts(spark, str(root)), dims, SPEC_A, *HOURS, sink) == [hour]
+    assert catch_up(spark, read_facts(spark, str(root)), dims, SPEC_A, *HOURS, sink) == []
+
+
+def test_files_of_one_hour_at_odds_with_the_schema_raise(spark, tmp_path):
+    root, sink = tmp_path / "facts", str(tmp_path / "sink")
+    lake(spark, root)
+    check_hours(spark, str(root), dt_hours(*HOURS))
+    hours = sorted(p.name.removeprefix("dt=") for p in (root / "installs").glob("dt=*"))
+    bad = root / "installs" / f"dt={hours[-1]}"
+    rows = spark.read.parquet(str(bad))
+    rows.withColumnRenamed("pod_device_model", "device_model").coalesce(1).write.parquet(str(tmp_path / "renamed"))
+    for f in list(bad.glob("*.parquet")):
+        f.unlink()
+    for f in (tmp_path / "renamed").glob("*.parquet"):
+        f.rename(bad / f.name)
+    with pytest.raises(ValueError, match=f"installs hour {hours[-1]}: no column pod_device_model"):
+        check_hours(spark, str(root), dt_hours(*HOURS))
+    check_hours(spark, str(root), hours[:-1])  # other hours are not looked at
+    check_hours(spark, str(root), ["2031-01-01T00"])  # nor are hours that have not landed
+    with pytest.raises(ValueError, match=hours[-1]):  # before anything is written
+        catch_up(spark, read_facts(spark, str(root)), derive_dims(spark, SF_SMALL), SPEC_A, *HOURS, sink,
+                 check=lambda hours: check_hours(spark, str(root), hours))
+    assert written_hours(spark, sink) == set()
+
+
+def test_files_of_one_hour_with_different_types_raise(spark, tmp_path):
+    root = tmp_path / "facts"
+    lake(spark, root)
+    hour = one_hour_of(spark, root, "installs")
+    at = str(root / "installs" / f"dt={hour}")
+    rows = spark.read.parquet(at).withColumn("pod_device_model", F.lit(1)).limit(3)
+    rows.coalesce(1).write.parquet(str(tmp_path / "typed"))
+    for f in (tmp_path / "typed").glob("*.parquet"):
+        f.rename(root / "installs" / f"dt={hour}" / f.name)
+    with pytest.raises(ValueError, match=f"installs hour {hour}"):
+        check_hours(spark, str(root), dt_hours(*HOURS))
+
+
+def test_every_file_of_a_dimension_is_looked_at(spark, tmp_path):
+    path = str(tmp_path / "apps")
+    apps = derive_dims(spark, SF_SMALL).apps
+    apps.coalesce(1).write.parquet(path)
+    assert read_table(spark, path, "apps").count() == apps.count()
+    first = apps.columns[0]
+    apps.withColumn(first, F.lit(True)).limit(2).coalesce(1).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="apps at"):
+        read_table(spark, path, "apps")
