@@ -179,7 +179,7 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: Column, *,
 def document_mix(documents: DataFrame, **params) -> DataFrame:
     """The mix of ``documents`` by words, as digest columns."""
     narrow = checkpointed(documents.select("doc_id", "source", word_count(F.col("text")).alias("words")))
-    mix = mix_sources(narrow, "doc_id", "source", F.col("words"), **params)
+    mix = mix_sources(narrow, "doc_id", "source", F.col("words"), settle=True, **params)
     return mix.documents.select("doc_id", *OUTPUTS)
 
 
@@ -254,27 +254,38 @@ won AS (
   SELECT sid, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, sid, seat) AS r, n FROM bids),
 q AS (SELECT sid, count(*) AS quota FROM won WHERE r <= n GROUP BY sid),
 bl AS (
-  SELECT t.sid, t.b, t.n_blocks, t.source_size, coalesce(q.quota, 0) AS quota,
+  SELECT t.sid, t.b, t.n_blocks, t.source_size, t.target, coalesce(q.quota, 0) AS quota,
          unnest(range(0, t.n_blocks)) AS block
   FROM t LEFT JOIN q USING (sid) WHERE source_size > 0),
 bt AS (
-  SELECT *, quota // n_blocks + CASE WHEN row_number() OVER (PARTITION BY sid
-           ORDER BY md5('mix|block|' || sid || '|' || block), block) <= quota % n_blocks
-           THEN 1 ELSE 0 END AS times
+  SELECT *, least(b, source_size - block * b) AS length,
+         row_number() OVER (PARTITION BY sid ORDER BY md5('mix|block|' || sid || '|' || block), block) AS turn
   FROM bl),
+bw AS (
+  SELECT *, quota // n_blocks + CASE WHEN turn <= quota % n_blocks THEN 1 ELSE 0 END AS won,
+         round(target)::BIGINT AS words,
+         round(target)::BIGINT % source_size - coalesce(sum(length) OVER (PARTITION BY sid ORDER BY turn
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+  FROM bt),
+bo AS (SELECT *, abs(target - sum(won * length) OVER (PARTITION BY sid)) > 1 AS off FROM bw),
+bs AS (
+  SELECT *, CASE WHEN off THEN words // source_size + CASE WHEN rest >= length THEN 1 ELSE 0 END ELSE won END AS times,
+         CASE WHEN off AND rest > 0 AND rest < length THEN rest ELSE 0 END AS part
+  FROM bo),
 bb AS (
-  SELECT *, coalesce(sum(times * least(b, source_size - block * b)) OVER (PARTITION BY sid ORDER BY block
+  SELECT *, coalesce(sum(times * length + part) OVER (PARTITION BY sid ORDER BY block
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM bt),
-al AS (SELECT sid, sum(times * least(b, source_size - block * b)) AS everything FROM bt GROUP BY sid),
+  FROM bs),
+al AS (SELECT sid, sum(times * length + part) AS everything FROM bs GROUP BY sid),
 p AS (
   SELECT d.doc_id, d.size, t.sid, t.source_size, t.target, t.b,
          sum(d.size) OVER (PARTITION BY t.sid ORDER BY d.h, d.size
            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS e
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT p.doc_id, p.size, p.source_size, p.target,
-       (coalesce(x.before + x.times * (p.e % p.b), al.everything, 0)
-        - coalesce(y.before + y.times * ((p.e - p.size) % p.b), al.everything, 0))::BIGINT AS taken
+       (coalesce(x.before + x.times * (p.e % p.b) + least(p.e % p.b, x.part), al.everything, 0)
+        - coalesce(y.before + y.times * ((p.e - p.size) % p.b) + least((p.e - p.size) % p.b, y.part),
+                   al.everything, 0))::BIGINT AS taken
 FROM p LEFT JOIN al ON al.sid = p.sid
 LEFT JOIN bb x ON x.sid = p.sid AND x.block = p.e // p.b
 LEFT JOIN bb y ON y.sid = p.sid AND y.block = (p.e - p.size) // p.b
