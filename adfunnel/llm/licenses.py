@@ -91,8 +91,10 @@ def scan_licenses(files: DataFrame, key: str, path: str, text: str, templates: d
         terms = re.findall(TOKEN, s.lower())
         foreign[name] = sum((terms.count(t) * idf[t]) ** 2 for t in set(terms)) / len(set(terms))
 
+    # rows without a key, or of one key, are told apart by their texts
+    row = F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text"))
     lines = F.split(F.col(text), "\n")
-    line = files.select(F.col(key).alias(P + "key"), F.col(path).alias(P + "path"), F.posexplode(F.arrays_zip(
+    line = files.select(row.alias(P + "key"), F.col(path).alias(P + "path"), F.posexplode(F.arrays_zip(
         *[F.slice(lines, i + 1, F.greatest(F.size(lines), F.lit(1))).alias(f"l{i}") for i in range(WRAP)])).alias(P + "line", P + "run"))
     # a run starts and ends with a line that has words of the templates
     for i in range(WRAP):
@@ -149,7 +151,7 @@ def scan_licenses(files: DataFrame, key: str, path: str, text: str, templates: d
         .select(P + "folder", F.col("b.from").alias("from"), F.col("b.given").alias("given"))
 
     out = files.select(*[F.col(f"`{c}`") for c in keep]).join(
-        best, F.col(key).eqNullSafe(F.col(P + "key")) & F.col(path).eqNullSafe(F.col(P + "path")), "left")
+        best, row.eqNullSafe(F.col(P + "key")) & F.col(path).eqNullSafe(F.col(P + "path")), "left")
     out = out.join(nearest, parent(F.col(f"`{path}`")) == F.col(P + "folder"), "left")
     return out.select(*[F.col(f"`{c}`") for c in keep], "own_license", "own_score", "own_line",
                       F.coalesce("own_license", "given").alias("license"),
@@ -159,10 +161,11 @@ def scan_licenses(files: DataFrame, key: str, path: str, text: str, templates: d
 def document_licenses(documents: DataFrame) -> DataFrame:
     """The scan over ``documents``, filed as ``source/lang/<id div 64>/<id>``.
 
-    A document that opens with a licence line states its directory's licence.
+    A document that opens with a licence line states its directory's licence. Documents
+    without an id have no path, so they neither state nor inherit one.
     """
-    files = documents.select("doc_id", "text", F.concat_ws(
+    files = documents.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.concat_ws(
         "/", F.lit(""), "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"),
-        F.col("doc_id").cast("string")).alias("path"))
+        F.col("doc_id").cast("string"))).alias("path"))
     found = scan_licenses(files, "doc_id", "path", "text", states_directory=F.col("own_line") == 0)
     return found.drop("text")
