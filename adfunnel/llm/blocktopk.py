@@ -13,10 +13,10 @@ Blocks lie in shards of bounded size; queries meet every shard in bounded groups
 query set against all rows, in blocks).
 
 Defined results: NULL or non-finite vectors, vectors of an uncommon length and rows without
-an id take no part, zero vectors do; weights beyond 2^27 in magnitude are held at that
-bound, so scores fit a long; rows with the query's id are never its partners; a repeated
-id counts once per query, at its best score; an empty table gives no rows; other columns
-are ignored.
+an id take no part, nor do vectors with a weight of 2^60 or more, zero vectors do; scores
+are exact integers whatever their size, and ranked as such (NULL where one does not fit a
+long); rows with the query's id are never its partners; a repeated id counts once per query,
+at its best score; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +34,18 @@ from adfunnel.llm.vectors import (
 
 SAMPLE = 10_000
 BLOCK = 256
-LARGEST = 1 << 27
+SCORE = pa.decimal128(38, 0)
+LARGEST = 2.0 ** 60  # weights below it are exact in 64 bits, scores of 100 terms in 38 digits
 
 
 def integer_weights(x: np.ndarray, scale: float) -> np.ndarray:
-    return np.clip(np.floor(scale * x), -LARGEST, LARGEST)
+    return np.floor(scale * x).astype(np.int64)
+
+
+def exact_type(w: np.ndarray, q: np.ndarray) -> type:
+    """The cheapest number type in which all scores of ``w`` and ``q`` are exact."""
+    most = float(np.abs(w).max()) * float(np.abs(q).max()) * w.shape[1]
+    return np.float64 if most < 2.0 ** 53 else np.int64 if most < 2.0 ** 62 else object
 
 
 class Blocks:
@@ -55,7 +62,7 @@ class Blocks:
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
     def top(self, q: np.ndarray, bound: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, q.dtype)
         for b in np.argsort(-bound, kind="stable"):
             if len(ids) >= k and bound[b] < scores[k - 1]:
                 break
@@ -63,7 +70,8 @@ class Blocks:
             other = self.ids[rows] != own
             ids = np.concatenate([ids, self.ids[rows][other]])
             scores = np.concatenate([scores, (self.weights[rows] @ q)[other]])
-            best = np.lexsort((ids, -scores))
+            by_id = np.argsort(ids, kind="stable")
+            best = by_id[np.argsort(-scores[by_id], kind="stable")]
             # a repeated id counts once
             _, first = np.unique(ids[best], return_index=True)
             best = best[np.sort(first)[:k]]
@@ -74,7 +82,8 @@ class Blocks:
 def search(embeddings: DataFrame, id_col: str, vec_col: str, queries: Column, k: int = 10,
            scale: float = 1024.0) -> DataFrame:
     """(query_id, rank, vec_id, score long): the exact top ``k`` of every query row."""
-    rows = checkpointed(usable_vectors(embeddings.select(id_col, vec_col), id_col, vec_col, True))
+    rows = usable_vectors(embeddings.select(id_col, vec_col), id_col, vec_col, True)
+    rows = checkpointed(rows.where(F.forall("vec", lambda x: F.abs(x * scale) < LARGEST)))
     n = rows.count()
     if not n:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -99,20 +108,20 @@ def search(embeddings: DataFrame, id_col: str, vec_col: str, queries: Column, k:
         .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[], [], []]
+        cols: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
             w, q = integer_weights(matrix(left.column("vec")), scale), integer_weights(matrix(right.column("vec")), scale)
-            if np.abs(w).max() * np.abs(q).max() * w.shape[1] >= 2.0 ** 53:  # beyond exact doubles
-                w, q = w.astype(np.int64), q.astype(np.int64)
+            exact = exact_type(w, q)
+            w, q = w.astype(exact), q.astype(exact)
             blocks = Blocks(left.column("id").to_numpy(), w, left.column("cell").to_numpy())
             bounds = blocks.bounds(q)
             for i, own in enumerate(right.column("id").to_numpy()):
                 ids, s = blocks.top(q[i], bounds[i], own, k)
-                for c, v in zip(cols, (np.full(len(ids), own), ids, s.astype(np.int64))):
+                for c, v in zip(cols, (np.full(len(ids), own), ids, [int(v) for v in s])):
                     c.append(v)
-        a, b, c = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in cols)
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+        a, b = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in cols[:2])
+        return pa.table({"query_id": a, "vec_id": b, "score": pa.array([v for s in cols[2] for v in s], SCORE)})
 
     found = entries.groupBy("shard", "group").cogroup(sent.groupBy("shard", "group")) \
-        .applyInArrow(score, "query_id long, vec_id long, score long")
-    return ranked(found, k)
+        .applyInArrow(score, "query_id long, vec_id long, score decimal(38,0)")
+    return ranked(found, k).withColumn("score", F.col("score").try_cast("long"))
