@@ -190,12 +190,12 @@ def full_sets(reps: DataFrame, ids: DataFrame, documents: DataFrame) -> DataFram
                     d1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(sets)), pa.array(d1, pa.int64()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "d1", "members"])
+                     pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "d1", "members"])
 
-    wanted = reps.join(ids, "rep").select("rep", "d1")
-    sets = documents.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi") \
-        .mapInArrow(expand, "rep long, d1 long, members binary")
-    return sets.join(wanted, ["rep", "d1"]).dropDuplicates(["rep"]).select("rep", "members")
+    wanted = reps.join(ids, "rep").select("rep", "doc", "d1")
+    sets = documents.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi") \
+        .mapInArrow(expand, "doc long, d1 long, members binary")
+    return sets.join(wanted, ["doc", "d1"]).dropDuplicates(["rep"]).select("rep", "members")
 
 
 def verified_pairs(pairs: DataFrame, documents: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -325,9 +325,18 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     share = percent / 100
     docs = checkpointed(sketch(documents))
     some = docs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = checkpointed(some.groupBy("n", "d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.first("regs").alias("regs")))
-    reps = classes.dropDuplicates(["rep"])
+    classes = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("regs").alias("regs"))
+    # ids on rows of different sets: their classes are linked, and named by digest
+    shared_ids = checkpointed(some.groupBy("doc_id").agg(
+        F.min(F.struct("n", "d1", "d2")).alias("lo"), F.max(F.struct("n", "d1", "d2")).alias("hi"))
+        .where("lo <> hi").select("doc_id"))
+    repeated = not shared_ids.isEmpty()
+    name = F.col("doc")
+    if repeated:
+        classes = classes.join(shared_ids.select(F.col("doc_id").alias("doc"), F.lit(True).alias("two")), "doc", "left")
+        name = F.when(F.col("two"), F.xxhash64("n", "d1", "d2")).otherwise(F.col("doc"))
+    classes = checkpointed(classes.select("n", "d1", "d2", "doc", "regs", name.alias("rep")))
+    reps = classes
     bands = band_rows(reps)
     leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")) \
         .where("m > 1").select("key", "leader")
@@ -335,6 +344,11 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     stars = checkpointed(shared.where("rep <> leader").select(
         F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
     links = checkpointed(verified_pairs(checkpointed(likely_pairs(stars, reps, share)), documents, reps, percent))
+    if repeated:
+        named = some.join(shared_ids, "doc_id").select("doc_id", "n", "d1", "d2").distinct() \
+            .join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select("doc_id", "rep")
+        first = named.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        links = checkpointed(links.union(named.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))))
     labels = component_labels(links)
 
     open_rows = mixed_buckets(shared.drop("leader"), labels)
@@ -357,7 +371,11 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         labels = component_labels(links)
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
+        "n", "d1", "d2", "doc", F.coalesce("component", "rep").alias("component"))
+    if repeated:  # components are named by their smallest id
+        least = named.groupBy("component").agg(F.min("doc").alias("least"))
+        named = named.join(least, "component").select("n", "d1", "d2", F.col("least").alias("component"))
+    named = named.select("n", "d1", "d2", "component")
     out = docs.join(named, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
