@@ -1,7 +1,8 @@
 """Training-data operators: search, dedup, filtering, mixing, sharding, tokenizing.
 
 Nothing else in the library imports this package. Functions that run inside Python
-tasks are pickled by value, so executors need no copy of the package on their path.
+tasks are pickled by value and broadcasts hold plain values, so executors need no copy of
+the package on their path.
 """
 
 import sys

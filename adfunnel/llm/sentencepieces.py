@@ -40,8 +40,8 @@ SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 ALPHA = 1.0
 FALLBACK = -12.0  # weight of a byte piece
-CACHE_EDGES = 3_000_000
-RUN_CHARS = 1_000_000
+CACHE_EDGES = 1_500_000
+RUN_CHARS = 600_000
 
 
 @dataclass(frozen=True)
@@ -276,7 +276,7 @@ def encode_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int):
     if lattices.edges > CACHE_EDGES:
         lattices.reset()
     root = lattices.root
-    new = sorted(set(units).difference(root))
+    new = list(set(units).difference(root))
     if new:
         lattices.add_all(new)
     lat = lattices.arrays()
@@ -364,10 +364,12 @@ def decode(ids, vocabulary: Vocabulary) -> str:
 def sampled_segmentations(documents: DataFrame, key: str, text: str, k: int = 2, seed: int = 0,
                           vocabulary: Vocabulary | None = None) -> DataFrame:
     """(key, sample, ids, log_prob, value, inclusion, decoded_equal): ``k`` rows per row."""
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary or load_vocabulary())
+    voc = vocabulary or load_vocabulary()
+    # plain lists and dicts: executors may lack this package
+    shared = documents.sparkSession.sparkContext.broadcast((voc.pieces, voc.weights, voc.byte_ids))
 
     def run(batches):
-        voc = shared.value
+        voc = Vocabulary(*shared.value)
         lattices = Lattices(voc)
         table = [p.encode() for p in voc.pieces]
         for b, i in enumerate(voc.byte_ids):
@@ -386,8 +388,7 @@ def sampled_segmentations(documents: DataFrame, key: str, text: str, k: int = 2,
                     whole = texts[lo + i].encode("utf-8", "surrogatepass")
                     for s, (ids, p, value, included) in enumerate(rows):
                         data = b"".join([table[x] for x in ids.tolist()]).replace(b"\xe2\x96\x81", b" ")[1:]
-                        same = data == whole or data == whole.replace(b"\xe2\x96\x81", b" ")
-                        for c, v in zip(cols, (lo + i, s + 1, ids, p, value, included, same)):
+                        for c, v in zip(cols, (lo + i, s + 1, ids, p, value, included, data == whole)):
                             c.append(v)
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in cols[2]])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(cols[2]), pa.int32()))
