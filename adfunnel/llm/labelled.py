@@ -28,5 +28,9 @@ def training_sample(labels: DataFrame, label: str, usable: Column, per_class: di
 
 
 def sample_texts(documents: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, y) of the sampled ids; the sample is bounded, so it is broadcast."""
-    return documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    """(doc_id, text, y) of the sampled ids, one row each; the sample is bounded, so it is broadcast.
+
+    Of several texts of an id the one with the smallest hash counts.
+    """
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("y").alias("y"))

@@ -150,6 +150,11 @@ def fit(documents: DataFrame, sample: DataFrame) -> Model:
     return Model(idf, axes, latent(x, axes), y)
 
 
+def model_parts(model: Model) -> tuple:
+    """What a broadcast holds: executors may lack this package, so no class of it."""
+    return model.idf, model.axes, model.vectors, model.labels
+
+
 def vote(z: np.ndarray, model: Model, neighbours: int) -> np.ndarray:
     """Similarity-weighted labels of the nearest labelled vectors."""
     if not len(model.labels):
@@ -164,13 +169,13 @@ def vote(z: np.ndarray, model: Model, neighbours: int) -> np.ndarray:
 
 def score_quality(documents: DataFrame, model: Model, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``documents`` (its columns kept) with ``score``."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model_parts(model))
     keep = [c for c in documents.columns if c != "score"]
     source = documents.select(*[F.col(f"`{c}`") for c in keep])
     at = keep.index("text")
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             out = np.empty(batch.num_rows)
             for first, counts in term_counts(batch.column(at)):

@@ -18,7 +18,7 @@
 Whole texts are read once; later steps use the list of lexicon terms per document.
 
 Defined results: a NULL or empty text holds no term and scores like any text without
-one; a NULL doc_id is not held out; without usable labels of both classes the score is the
+one; a NULL doc_id is held out (the checksum of an empty id is 0); without usable labels of both classes the score is the
 known class's rate (0.5 when there is none, else 0.0 or 1.0 smoothed); repeated rows get
 equal scores; other columns are ignored.
 """
