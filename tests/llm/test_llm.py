@@ -353,3 +353,63 @@ def test_the_suffix_order_decides(spark, monkeypatch):
 
     monkeypatch.setattr(exactdup, "suffix_order", shuffled)
     assert [r[1] for r in dedup_rows(spark, rows)] != [0] + [180] * 11
+
+
+def test_block_top_k_of_large_weights(spark):
+    rows = [(0, [200_000.0, 1.0]), (1, [200_000.0, 0.0]), (2, [150_000.0, 0.0]), (3, [2.0 ** 45, -3.0]),
+            (4, [2.0 ** 45 + 1, -3.0]), (5, [1e200, 0.0]), (6, [-2.0 ** 45, 2.0])]
+    got = {(r.query_id, r.vec_id): (r.rank, r.score) for r in blocktopk.search(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") < 4).collect()}
+    w = {i: [int(v * 1024) for v in x] for i, x in rows if i != 5}
+    for q in range(4):
+        best = sorted((-sum(a * b for a, b in zip(w[q], w[i])), i) for i in w if i != q)
+        for rank, (s, i) in enumerate(best, 1):
+            assert got[q, i] == (rank, -s if abs(s) < 2 ** 63 else None)
+    assert got[0, 1][1] == 41943040000000000 + 0 and len(got) == 20
+
+
+def test_rows_of_one_id_link_their_classes(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "alone in the world with words")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_documents_without_an_id_are_kept_apart_by_the_licence_scan(spark):
+    prose = "word " * 400
+    rows = [(None, "Released under the MIT License.\ncode", "web", "en"), (None, prose, "web", "en"),
+            (1, prose, "web", "de"), (2, prose, "web", "en")]
+    got = licenses.document_licenses(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
+    assert sorted(str(r.license) for r in got.collect()) == ["MIT", "None", "None", "None"]
+
+
+def test_mix_takes_rare_sources(spark):
+    rows = [(i, "w " * 6000, "big") for i in range(100)] + [(1000, "a b c d e", "rare")]
+    out = mixing.document_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"),
+                              shards=2, blocks_per_shard=50).toPandas()
+    rare = out[out.doc_id == 1000].iloc[0]
+    assert rare.target == 10 and rare.taken == 10
+
+
+def test_segmentation_reports_what_decodes(spark):
+    df = spark.createDataFrame([(1, "a▁b c"), (2, "a b c"), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.decoded_equal) for r in sentencepieces.document_segmentations(df).collect()}
+    assert got == {(1, False), (2, True), (3, True)}
+
+
+def test_sampled_texts_hold_one_row_an_id(spark):
+    from adfunnel.llm.labelled import sample_texts
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(1000)] + [(2, "b")], "doc_id long, text string")
+    sample = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, y int")
+    assert sample_texts(docs, sample).count() == 2
+
+
+def test_broadcasts_hold_no_class_of_the_package():
+    import pickletools
+    model = quality.Model(np.zeros(2), np.zeros((2, 1)), np.zeros((1, 1)), np.zeros(1))
+    voc = sentencepieces.Vocabulary(["a"], {"a": (0, 0.0)}, [0])
+    import pickle
+    for value in (quality.model_parts(model), (voc.pieces, voc.weights, voc.byte_ids)):
+        names = [arg for _, arg, _ in pickletools.genops(pickle.dumps(value)) if isinstance(arg, str)]
+        assert not any("adfunnel" in n for n in names)
