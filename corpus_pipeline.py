@@ -22,9 +22,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (op 7)."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each group of near duplicates (op 7), one row for each id.
+
+    Rows without an id take no part. Of several rows of an id the one with the smallest
+    text hash stays.
+    """
+    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
+    again = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")) \
+        .agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("__id")
+    same = F.col("doc_id") == F.col("__id")
+    single = docs.join(gone.union(again).distinct(), same, "left_anti")
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = docs.join(again, same, "left_semi").join(gone.distinct(), same, "left_anti") \
+        .groupBy("doc_id").agg(F.min_by(every, F.xxhash64("text")).alias("row")).select("row.*")
+    return single.unionByName(several)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
