@@ -12,7 +12,10 @@ from __future__ import annotations
 import importlib
 import os
 import sys
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 # The package and the oracle live next to this file; make them importable however
 # this module is loaded (by path or by name). No Python runs on executors.
@@ -40,6 +43,8 @@ from adfunnel.operators.enrich import enrich
 from adfunnel.operators.filters import segment_condition, skan_compatible
 from adfunnel.operators.revenue import BID
 from adfunnel.plans.funnel import funnel_rows
+from adfunnel.plans.partials import report_from_partials, write_partials
+from adfunnel.sources.bucketed import read_bucketed_events, write_bucketed_events
 from adfunnel.sources.derived import derive_dims, derive_facts
 from oracle.report_sql import REPORT_A, REPORT_B, ReportSQL, first, fmt_class, hour, quality
 from oracle.tables import table_ctes
@@ -253,6 +258,33 @@ def q_event_rows(spark, sf):
     return format_hours(rows.drop("target_events", "unreported_target_events"))
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir`` (a temporary folder under a local master)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="adfunnel-")
+    return f"{folder}/adfunnel-{uuid.uuid4().hex}"
+
+
+def q_bucketed_experiment_report(spark, sf):
+    """Report A over app events stored in buckets: no exchange before the per-auction rollup."""
+    facts, path = _facts(spark, sf), _shared_folder(spark)
+    table = f"app_events_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_bucketed_events(facts.app_events, table, buckets, path)
+    stored = replace(facts, app_events=read_bucketed_events(spark, table))
+    return _round(experiment_report(stored, derive_dims(spark, sf), SPEC_A))
+
+
+def q_partial_experiment_report(spark, sf):
+    """Report B over all hours, made of stored hourly partials."""
+    root = _shared_folder(spark)
+    write_partials(_facts(spark, sf), SPEC_B, root)
+    return _round(report_from_partials(spark, root, derive_dims(spark, sf), SPEC_B))
+
+
 def _optional(name: str):
     """Module ``name`` of the training-data part, or None where that part is not installed."""
     try:
@@ -309,6 +341,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "experiment_report": _report(SPEC_A),
         "campaign_experiment_report": _report(SPEC_B),
         "hourly_experiment_report": _report(SPEC_B, per_hour=True),
+        "bucketed_experiment_report": q_bucketed_experiment_report,
+        "partial_experiment_report": q_partial_experiment_report,
         **_llm_queries(),
     }
 
@@ -456,5 +490,7 @@ def oracle_sql() -> dict[str, str]:
         "experiment_report": _report_sql(REPORT_A),
         "campaign_experiment_report": _report_sql(REPORT_B),
         "hourly_experiment_report": _report_sql(REPORT_B, per_hour=True),
+        "bucketed_experiment_report": _report_sql(REPORT_A),
+        "partial_experiment_report": _report_sql(REPORT_B),
     }
     return {**out, **_llm_sql()}

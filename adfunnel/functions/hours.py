@@ -55,6 +55,11 @@ def bucket_from_iso(iso: Column | str) -> Column:
     return F.timestamp_diff("MILLISECOND", epoch_ntz(), ts)
 
 
+def dt_of_bucket(bucket: Column | str) -> Column:
+    """The ``YYYY-MM-DDTHH`` partition of an hour bucket (UTC); NULL in, NULL out."""
+    return F.substring(iso_from_bucket(bucket), 1, 13)
+
+
 def within_days(later: Column, earlier: Column, days: int) -> Column:
     """``later - earlier < days`` for buckets; NULL if either side is NULL.
 

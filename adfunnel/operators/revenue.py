@@ -29,6 +29,8 @@ from adfunnel.operators.filters import credited, segment_condition, skan_compati
 from adfunnel.spec import ExperimentSpec
 
 BID = "impression__bid__"
+# A column of stored events that is a function of every per-auction key (sources/bucketed.py).
+AUCTION_SLOT = "auction_slot"
 
 
 def event_filter(spec: ExperimentSpec) -> Column:
@@ -76,6 +78,10 @@ def event_key_columns(spec: ExperimentSpec) -> dict[str, Column]:
     return keys
 
 
+def auction_id() -> Column:
+    return touch_coalesce("impression__auction_id", INSTALL_FIRST)
+
+
 def event_measure_columns(spec: ExperimentSpec) -> dict[str, Column]:
     """Per-event target-event flags and gated revenue."""
     reporting = F.col("for_reporting")
@@ -105,7 +111,7 @@ def app_event_rows(app_events: DataFrame, spec: ExperimentSpec,
                                            INSTALL_OR_REENG), spec.test_id)
     keys = event_key_columns(spec)
     cols = [F.col(c) for c in extra_keys]
-    cols.append(touch_coalesce("impression__auction_id", INSTALL_FIRST).alias("auction_id"))
+    cols.append(auction_id().alias("auction_id"))
     cols += [(keys[k] if k in keys else F.col(k)).alias(k) for k in funnel_keys(spec)]
     cols += [v.cast("long").alias(k) for k, v in event_measure_columns(spec).items()]
     return rows.select(*cols)
@@ -113,10 +119,15 @@ def app_event_rows(app_events: DataFrame, spec: ExperimentSpec,
 
 def per_auction_totals(app_events: DataFrame, spec: ExperimentSpec,
                        extra_keys: Sequence[str] = ()) -> DataFrame:
-    """Per-auction rollup (hours as buckets): sums of the event measures."""
+    """Per-auction rollup (hours as buckets): sums of the event measures.
+
+    Events stored with their auction slot are grouped by it as well, which leaves the groups
+    as they are and lets a table bucketed on it do without an exchange.
+    """
     keys = ["auction_id", *funnel_keys(spec, extra_keys)]
-    return (app_event_rows(app_events, spec, extra_keys).groupBy(*keys)
-            .agg(*[F.sum(m).alias(m) for m in event_measures(spec)]))
+    slot = [AUCTION_SLOT] if AUCTION_SLOT in app_events.columns else []
+    return (app_event_rows(app_events, spec, [*extra_keys, *slot]).groupBy(*slot, *keys)
+            .agg(*[F.sum(m).alias(m) for m in event_measures(spec)]).drop(*slot))
 
 
 def per_auction_revenue(app_events: DataFrame, spec: ExperimentSpec) -> DataFrame:

@@ -35,12 +35,17 @@ def funnel_branches(facts: Facts, spec: ExperimentSpec, start: str | None = None
     f = scoped(facts, start, end)
     extra = ("dt",) if per_hour else ()
     totals = per_auction_totals(f.app_events, spec, extra)
+    return {**row_branches(f, spec, extra),
+            "capped_revenue": capped_revenue_rows(totals, spec, extra)}
+
+
+def row_branches(f: Facts, spec: ExperimentSpec, extra: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The four branches that need no rollup of their own."""
     return {
         "impressions": impression_rows(f.impressions, spec, extra),
         "ad_clicks": click_rows(f.ad_clicks, spec, extra),
         "view_clicks": click_rows(f.view_clicks, spec, extra),
         "installs": install_rows(f.installs, spec, extra),
-        "capped_revenue": capped_revenue_rows(totals, spec, extra),
     }
 
 

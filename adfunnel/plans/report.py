@@ -115,7 +115,12 @@ def experiment_report(facts: Facts, dims: Dims, spec: ExperimentSpec,
     revenue cap applies to groups spanning several ``dt`` partitions once.
     """
     rows = funnel_rows(facts, spec, start, end, per_hour)
-    by_ids = aggregate_report(rows, spec, per_hour)
+    return named_report(aggregate_report(rows, spec, per_hour), dims, spec, per_hour)
+
+
+def named_report(by_ids: DataFrame, dims: Dims, spec: ExperimentSpec,
+                 per_hour: bool = False) -> DataFrame:
+    """Report sums by id keys (:func:`aggregate_report`) with names, in output form."""
     part = F.pmod(F.xxhash64(*report_keys(spec, per_hour)), F.lit(SPREAD)).cast("int")
     named = enrich(by_ids.withColumn("_spread", part), dims, spec, "_spread")
     # Names are keys of the report too. With unique dimension ids this pass only
