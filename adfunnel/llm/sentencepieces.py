@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ UNIT = re.compile(r" *[^ \n]+|\n| +")
 ALPHA = 1.0
 FALLBACK = -12.0  # weight of a byte piece
 CACHE_EDGES = 1_500_000
-RUN_CHARS = 600_000
+RUN_BYTES = 600_000
 
 
 @dataclass(frozen=True)
@@ -85,11 +86,11 @@ class Lattices:
             self.prefixes[keys[on] >> np.uint64(44)] = True
         ids = np.array([v[0] for v in vocabulary.weights.values()], np.int64)
         order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], ids[order]
+        self.keys, self.key_ids = np.append(keys[order], ~np.uint64(0)), np.append(ids[order], 0)
         self.by_id = np.zeros(len(vocabulary.pieces))
         self.by_id[ids] = [v[1] for v in vocabulary.weights.values()]
-        self.slots = np.zeros(1 << 20, bool)
-        self.slots[self.keys >> np.uint64(44)] = True
+        self.slots = np.full(1 << 20, -1, np.int32)  # the first key of each slot
+        self.slots[self.keys[-2::-1] >> np.uint64(44)] = np.arange(len(keys) - 1, -1, -1)
         self.of_edge = [np.zeros(1 << 16, t) for t in (float, float, np.int64, np.int64, np.int32, np.int32, float)]
         self.of_node = [np.zeros(1 << 16, np.int64) for _ in range(3)]
         self.reset()
@@ -115,10 +116,15 @@ class Lattices:
             h = extended(h[on], chars[at + m - 1])
             on = self.prefixes[h >> np.uint64(44)]  # no piece begins like the others
             at, h = at[on], h[on]
-            slot = self.slots[h >> np.uint64(44)]
-            maybe = np.flatnonzero(slot)
-            place = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-            maybe, place = maybe[self.keys[place] == h[maybe]], place[self.keys[place] == h[maybe]]
+            place = self.slots[h >> np.uint64(44)]
+            maybe = np.flatnonzero(place >= 0)
+            place, wanted = place[maybe], h[maybe]
+            more = np.flatnonzero(self.keys[place] < wanted)  # the slot's next keys
+            while len(more):
+                place[more] += 1
+                more = more[self.keys[place[more]] < wanted[more]]
+            hit = self.keys[place] == wanted
+            maybe, place = maybe[hit], place[hit]
             src.append(at[maybe])
             length.append(np.full(len(maybe), m))
             code.append(self.key_ids[place])
@@ -132,7 +138,8 @@ class Lattices:
         width = np.ones(len(src), np.int64)
         width[len(src) - len(other):] = [len(c) for c in spelled]
         weight = np.where(np.arange(len(src)) < len(src) - len(other), self.by_id[code], FALLBACK * width)
-        order = np.lexsort((-length, src, left[src]))
+        # nearer to the word's end first, then by position, longer pieces first
+        order = np.argsort((left[src] * n + src) * (self.longest + 1) + self.longest - length)
         fallback = np.flatnonzero(order >= len(src) - len(other))
         for e in fallback.tolist():
             self.codes[self.edges + e] = tuple(spelled[order[e] - (len(src) - len(other))])
@@ -186,7 +193,7 @@ class Lattices:
 def extended(h: np.ndarray, char: np.ndarray) -> np.ndarray:
     """Hashes of strings made longer by one character each."""
     with np.errstate(over="ignore"):
-        return mix64(h * np.uint64(0x9E3779B97F4A7C15) + char + np.uint64(1))
+        return (h + char + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def hashed(*parts: np.ndarray, h=np.uint64(0x243F6A8885A308D3)) -> np.ndarray:
@@ -375,17 +382,16 @@ def sampled_segmentations(documents: DataFrame, key: str, text: str, k: int = 2,
         for b, i in enumerate(voc.byte_ids):
             table[i] = bytes([b])
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            size = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
             keys = mix64(batch.column(0).fill_null(0).to_numpy().view(np.uint64) ^ np.uint64(seed))
             lo = 0
-            while lo < len(texts):
-                hi, chars = lo + 1, len(texts[lo])
-                while hi < len(texts) and chars + len(texts[hi]) <= RUN_CHARS:
-                    chars += len(texts[hi])
-                    hi += 1
+            end = np.cumsum(size, dtype=np.int64)
+            while lo < len(size):  # rows of about RUN_BYTES at a time
+                hi = max(lo + 1, int(np.searchsorted(end, end[lo] - size[lo] + RUN_BYTES, "right")))
+                texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 cols: list[list] = [[] for _ in range(7)]
-                for i, rows in enumerate(encode_run(lattices, texts[lo:hi], keys[lo:hi], k)):
-                    whole = texts[lo + i].encode("utf-8", "surrogatepass")
+                for i, rows in enumerate(encode_run(lattices, texts, keys[lo:hi], k)):
+                    whole = texts[i].encode("utf-8", "surrogatepass")
                     for s, (ids, p, value, included) in enumerate(rows):
                         data = b"".join([table[x] for x in ids.tolist()]).replace(b"\xe2\x96\x81", b" ")[1:]
                         for c, v in zip(cols, (lo + i, s + 1, ids, p, value, included, data == whole)):
