@@ -43,15 +43,22 @@ from adfunnel.operators.enrich import enrich
 from adfunnel.operators.filters import segment_condition, skan_compatible
 from adfunnel.operators.revenue import BID
 from adfunnel.plans.funnel import funnel_rows
+from adfunnel.plans.many import experiment_reports
 from adfunnel.plans.partials import report_from_partials, write_partials
 from adfunnel.sources.bucketed import read_bucketed_events, write_bucketed_events
 from adfunnel.sources.derived import derive_dims, derive_facts
-from oracle.report_sql import REPORT_A, REPORT_B, ReportSQL, first, fmt_class, hour, quality
+from oracle.report_sql import (
+    MANY_REPORTS, REPORT_A, REPORT_B, ReportSQL, first, fmt_class, hour, quality,
+)
 from oracle.tables import table_ctes
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 # A multi-hour backfill window (the reference's hour filter is the feature tested).
 RANGE_START, RANGE_END = "2024-01-02T05", "2024-01-09T07"
+# Both reports, one of another segment with low limits, one of one-day cohorts.
+MANY = (SPEC_A, SPEC_B,
+        replace(SPEC_A, platform="ANDROID", cap_micros=3_000_000, revenue_bound=90_000_000),
+        replace(SPEC_B, by_campaign=False, cohort_days=1, cap_micros=40_000_000))
 I, R, A = "install__ad_click__", "reeng_click__", "attribution_event__click__"
 
 
@@ -285,6 +292,11 @@ def q_partial_experiment_report(spark, sf):
     return _round(report_from_partials(spark, root, derive_dims(spark, sf), SPEC_B))
 
 
+def q_many_experiment_reports(spark, sf):
+    """Four reports of two tests from one scan of each fact table."""
+    return _round(experiment_reports(derive_facts(spark, sf), derive_dims(spark, sf), MANY))
+
+
 def _optional(name: str):
     """Module ``name`` of the training-data part, or None where that part is not installed."""
     try:
@@ -343,6 +355,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hourly_experiment_report": _report(SPEC_B, per_hour=True),
         "bucketed_experiment_report": q_bucketed_experiment_report,
         "partial_experiment_report": q_partial_experiment_report,
+        "many_experiment_reports": q_many_experiment_reports,
         **_llm_queries(),
     }
 
@@ -359,13 +372,23 @@ def _rounded(select: str, doubles: list[str]) -> str:
     return f"SELECT * REPLACE ({rep}) FROM ({select}) q"
 
 
-def _report_sql(spec, per_hour=False) -> str:
-    r = ReportSQL(spec, per_hour=per_hour)
+def _rounded_report(r: ReportSQL) -> str:
+    spec = r.s
     doubles = ["squared_capped_customer_revenue"]
     if spec.d7:
         doubles += ["customer_revenue_d7", "capped_customer_revenue_d7",
                     "squared_capped_customer_revenue_d7"]
-    return _with(r.ctes(), select=_rounded(r.report(), doubles))
+    return _rounded(r.report(), doubles)
+
+
+def _report_sql(spec, per_hour=False) -> str:
+    r = ReportSQL(spec, per_hour=per_hour)
+    return _with(r.ctes(), select=_rounded_report(r))
+
+
+def _report_part(spec) -> str:
+    r = ReportSQL(spec)
+    return f"WITH {r.ctes()} {_rounded_report(r)}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -492,5 +515,8 @@ def oracle_sql() -> dict[str, str]:
         "hourly_experiment_report": _report_sql(REPORT_B, per_hour=True),
         "bucketed_experiment_report": _report_sql(REPORT_A),
         "partial_experiment_report": _report_sql(REPORT_B),
+        "many_experiment_reports": _with(select=" UNION ALL BY NAME ".join(
+            f"SELECT CAST({i} AS INTEGER) AS report, * FROM ({_report_part(r)}) r{i}"
+            for i, r in enumerate(MANY_REPORTS))),
     }
     return {**out, **_llm_sql()}

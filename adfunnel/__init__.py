@@ -11,6 +11,7 @@ from adfunnel.operators.revenue import (
     per_auction_totals,
 )
 from adfunnel.plans.funnel import build_funnel, funnel_rows
+from adfunnel.plans.many import experiment_reports, one_report, read_specs
 from adfunnel.plans.report import experiment_report
 from adfunnel.sources.scan import hour_range, read_dims, read_facts
 from adfunnel.sources.sink import write_hour, write_hours
@@ -20,8 +21,9 @@ __all__ = [
     "SPEC_A", "SPEC_B", "Dims", "ExperimentSpec", "Facts", "app_event_rows", "assert_unique",
     "build_funnel", "capped_revenue_branch", "capped_revenue_rows",
     "click_branch", "click_rows",
-    "credited", "enrich", "experiment_report", "explode_assignments", "first_click",
-    "funnel_rows", "hour_range", "impression_branch", "impression_rows", "install_branch",
-    "install_rows", "per_auction_revenue", "per_auction_totals", "read_dims", "read_facts",
+    "credited", "enrich", "experiment_report", "experiment_reports", "explode_assignments",
+    "first_click", "funnel_rows", "hour_range", "impression_branch", "impression_rows",
+    "install_branch", "install_rows", "one_report", "per_auction_revenue", "per_auction_totals",
+    "read_dims", "read_facts", "read_specs",
     "segment_filter", "skan_compatible", "write_hour", "write_hours",
 ]

@@ -42,9 +42,9 @@ def touch_coalesce(suffix: str, order: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.col(prefix + suffix) for prefix in order])
 
 
-def any_touch(suffix: str, value: str, order: tuple[str, ...] = ATTRIBUTION_FIRST) -> Column:
-    """Whether some touch of ``order`` has ``value``."""
-    tests = [F.col(prefix + suffix) == F.lit(value) for prefix in order]
+def any_touch(suffix: str, values: list[str], order: tuple[str, ...] = ATTRIBUTION_FIRST) -> Column:
+    """Whether some touch of ``order`` has one of ``values``."""
+    tests = [F.col(prefix + suffix).isin(values) for prefix in order]
     out = tests[0]
     for test in tests[1:]:
         out = out | test

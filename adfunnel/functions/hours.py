@@ -60,7 +60,7 @@ def dt_of_bucket(bucket: Column | str) -> Column:
     return F.substring(iso_from_bucket(bucket), 1, 13)
 
 
-def within_days(later: Column, earlier: Column, days: int) -> Column:
+def within_days(later: Column, earlier: Column, days: int | Column) -> Column:
     """``later - earlier < days`` for buckets; NULL if either side is NULL.
 
     No lower bound: a negative difference is inside the window.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from adfunnel.functions.attribution import ad_format_class, match_flag_columns
 from adfunnel.functions.hours import hour_bucket, iso_from_bucket
-from adfunnel.operators.expand import explode_assignments
+from adfunnel.operators.expand import assigned
 from adfunnel.operators.filters import credited, first_click, segment_condition, skan_compatible
 from adfunnel.spec import ExperimentSpec
 
@@ -40,7 +40,7 @@ def funnel_keys(spec: ExperimentSpec, extra_keys: Sequence[str] = ()) -> list[st
             "creative_type", *QUALITY_COLUMNS, "MMPs"]
     if spec.by_campaign:
         keys.append("campaign_id")
-    return [*extra_keys, *keys]
+    return [*extra_keys, *spec.lead, *keys]
 
 
 def event_measures(spec: ExperimentSpec) -> list[str]:
@@ -87,22 +87,30 @@ def _bid_keys(prefix: str, spec: ExperimentSpec) -> dict[str, Column]:
         "MMPs": F.col(prefix + "campaign_tracker"),
     }
     if spec.by_campaign:
-        keys["campaign_id"] = F.col(prefix + "campaign_id")
+        keys["campaign_id"] = spec.campaign(F.col(prefix + "campaign_id"))
     return keys
 
 
-def _bid_filter(prefix: str, spec: ExperimentSpec) -> Column:
-    return segment_condition(F.col(prefix + "campaign_tracker_type"),
-                             F.col(prefix + "ad_group_type"),
-                             F.col(prefix + "app_platform"), spec)
+def _bid_rows(df: DataFrame, prefix: str, spec: ExperimentSpec) -> DataFrame:
+    """Rows of the bid's assignments to the spec's test, in its segment.
+
+    The segment is tested after the expansion, where a spec of many reports knows the report;
+    Catalyst moves tests against constants below the generator, and the values that any
+    report asks for are tested on the table itself.
+    """
+    for column, values in spec.segments.items():
+        df = df.where(F.col(prefix + column).isin(values))
+    rows = assigned(df, F.col(prefix + "bid_request__ab_test_assignments"), spec)
+    return rows.where(segment_condition(F.col(prefix + "campaign_tracker_type"),
+                                        F.col(prefix + "ad_group_type"),
+                                        F.col(prefix + "app_platform"), spec))
 
 
 def impression_rows(impressions: DataFrame, spec: ExperimentSpec,
                     extra_keys: Sequence[str] = ()) -> DataFrame:
     p = "bid__"
-    kept = impressions.where(
-        _bid_filter(p, spec) & skan_compatible(F.col(p + "sk_ad_network_response__version")))
-    rows = explode_assignments(kept, F.col(p + "bid_request__ab_test_assignments"), spec.test_id)
+    kept = impressions.where(skan_compatible(F.col(p + "sk_ad_network_response__version")))
+    rows = _bid_rows(kept, p, spec)
     hour = hour_bucket(F.col("at"))
     keys = {"impression_h": hour, "click_h": F.lit(None).cast("long"),
             "install_h": F.lit(None).cast("long"), "at_h": hour,
@@ -117,8 +125,8 @@ def click_rows(clicks: DataFrame, spec: ExperimentSpec,
     """Ad clicks and view clicks share this builder; both count into ``clicks``."""
     p = "impression__bid__"
     kept = first_click(clicks).where(
-        _bid_filter(p, spec) & skan_compatible(F.col(p + "sk_ad_network_response__version")))
-    rows = explode_assignments(kept, F.col(p + "bid_request__ab_test_assignments"), spec.test_id)
+        skan_compatible(F.col(p + "sk_ad_network_response__version")))
+    rows = _bid_rows(kept, p, spec)
     click_hour = hour_bucket(F.col("at"))
     keys = {"impression_h": hour_bucket(F.col("impression__at")), "click_h": click_hour,
             "install_h": F.lit(None).cast("long"), "at_h": click_hour,
@@ -130,10 +138,9 @@ def install_rows(installs: DataFrame, spec: ExperimentSpec,
                  extra_keys: Sequence[str] = ()) -> DataFrame:
     p = "ad_click__impression__bid__"
     kept = credited(installs).where(
-        _bid_filter(p, spec)
-        & skan_compatible(F.col("skan_params__version"),
-                          F.col(p + "sk_ad_network_response__version")))
-    rows = explode_assignments(kept, F.col(p + "bid_request__ab_test_assignments"), spec.test_id)
+        skan_compatible(F.col("skan_params__version"),
+                        F.col(p + "sk_ad_network_response__version")))
+    rows = _bid_rows(kept, p, spec)
     install_hour = hour_bucket(F.col("event_timestamp"))
     flags = match_flag_columns(
         F.col("tracker_params__idfa"), F.col(p + "bid_request__device__platform_specific_id"),

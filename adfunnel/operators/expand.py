@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adfunnel.spec import ExperimentSpec
+
 
 def explode_assignments(df: DataFrame, arr: Column, test_id: int | None = None,
                         group_col: str = "ab_test_group_id",
@@ -23,3 +25,14 @@ def explode_assignments(df: DataFrame, arr: Column, test_id: int | None = None,
     else:
         rows = rows.withColumn(test_col, F.col("_assignment")["id"])
     return rows.withColumn(group_col, F.col("_assignment")["group"]["id"]).drop("_assignment")
+
+
+def assigned(df: DataFrame, arr: Column, spec: ExperimentSpec) -> DataFrame:
+    """One row per assignment in ``arr`` to a test of ``spec``.
+
+    Of a spec that stands for many reports, an assignment becomes a row for each report of
+    its test, which the row names in the spec's ``lead`` column.
+    """
+    if spec.tests is None:
+        return explode_assignments(df, arr, spec.test_id)
+    return explode_assignments(df, arr).join(spec.tests, "ab_test_id")

@@ -24,7 +24,7 @@ from adfunnel.functions.money import capped, revenue_gate, squared_capped
 from adfunnel.operators.branches import (
     aggregate_branch, canonical, event_measures, format_hours, funnel_keys,
 )
-from adfunnel.operators.expand import explode_assignments
+from adfunnel.operators.expand import assigned
 from adfunnel.operators.filters import credited, segment_condition, skan_compatible
 from adfunnel.spec import ExperimentSpec
 
@@ -34,19 +34,24 @@ AUCTION_SLOT = "auction_slot"
 
 
 def event_filter(spec: ExperimentSpec) -> Column:
-    """Segment and SKAN filters of app events, each column with its own touch order.
+    """SKAN filter of app events, and that some touch is in the segment.
 
     A first non-NULL touch equal to a value implies that some touch equals it; unlike the
-    tests on the coalesced touches, that reaches the Parquet reader.
+    tests on the coalesced touches (:func:`event_segment`), that reaches the Parquet reader.
     """
-    return (any_touch(BID + "app_platform", spec.platform)
-            & any_touch(BID + "ad_group_type", spec.ad_group_type)
-            & segment_condition(touch_coalesce(BID + "campaign_tracker_type", INSTALL_FIRST),
-                              touch_coalesce(BID + "ad_group_type", ATTRIBUTION_FIRST),
-                              touch_coalesce(BID + "app_platform", ATTRIBUTION_FIRST), spec)
-            & skan_compatible(F.col("skan_params__version"),
-                              touch_coalesce(BID + "sk_ad_network_response__version",
-                                             ATTRIBUTION_FIRST)))
+    kept = skan_compatible(F.col("skan_params__version"),
+                           touch_coalesce(BID + "sk_ad_network_response__version",
+                                          ATTRIBUTION_FIRST))
+    for column, values in spec.segments.items():
+        kept = kept & any_touch(BID + column, values)
+    return kept
+
+
+def event_segment(spec: ExperimentSpec) -> Column:
+    """Segment test of app events, each column with its own touch order."""
+    return segment_condition(touch_coalesce(BID + "campaign_tracker_type", INSTALL_FIRST),
+                             touch_coalesce(BID + "ad_group_type", ATTRIBUTION_FIRST),
+                             touch_coalesce(BID + "app_platform", ATTRIBUTION_FIRST), spec)
 
 
 def event_key_columns(spec: ExperimentSpec) -> dict[str, Column]:
@@ -74,7 +79,7 @@ def event_key_columns(spec: ExperimentSpec) -> dict[str, Column]:
         "MMPs": touch_coalesce(BID + "campaign_tracker", INSTALL_FIRST),
     }
     if spec.by_campaign:
-        keys["campaign_id"] = touch_coalesce(BID + "campaign_id", ATTRIBUTION_FIRST)
+        keys["campaign_id"] = spec.campaign(touch_coalesce(BID + "campaign_id", ATTRIBUTION_FIRST))
     return keys
 
 
@@ -107,8 +112,8 @@ def app_event_rows(app_events: DataFrame, spec: ExperimentSpec,
     hides the re-engagement one even when it lacks the test.
     """
     kept = credited(app_events).where(event_filter(spec))
-    rows = explode_assignments(kept, touch_coalesce(BID + "bid_request__ab_test_assignments",
-                                           INSTALL_OR_REENG), spec.test_id)
+    rows = assigned(kept, touch_coalesce(BID + "bid_request__ab_test_assignments",
+                                         INSTALL_OR_REENG), spec).where(event_segment(spec))
     keys = event_key_columns(spec)
     cols = [F.col(c) for c in extra_keys]
     cols.append(auction_id().alias("auction_id"))

@@ -31,7 +31,7 @@ def report_keys(spec: ExperimentSpec, per_hour: bool = False) -> list[str]:
             "device_family", "MMPs"]
     if spec.by_campaign:
         keys.append("campaign_id")
-    return (["dt"] if per_hour else []) + keys
+    return [*spec.lead, *(["dt"] if per_hour else []), *keys]
 
 
 def output_columns(spec: ExperimentSpec, per_hour: bool = False) -> list[str]:
@@ -43,7 +43,7 @@ def output_columns(spec: ExperimentSpec, per_hour: bool = False) -> list[str]:
     head += ["customer_name", "dest_app_name", "account_level"]
     if spec.by_campaign:
         head += ["current_optimization_state", "campaign_name"]
-    return (["dt"] if per_hour else []) + head + report_measures(spec)
+    return [*spec.lead, *(["dt"] if per_hour else []), *head, *report_measures(spec)]
 
 
 def report_measures(spec: ExperimentSpec) -> list[str]:

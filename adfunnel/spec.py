@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import ClassVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,18 @@ class ExperimentSpec:
     # True carries them through to the report instead.
     carry_event_metrics: bool = False
 
+    # What one pass over the facts for many specs replaces (plans/many.py).
+    lead: ClassVar[tuple[str, ...]] = ()  # keys that tell the reports apart
+    tests: ClassVar[DataFrame | None] = None  # the reports of each test id
+
+    @property
+    def segments(self) -> dict[str, list[str]]:
+        """The values of the segment columns that some row of the report can have."""
+        return {"app_platform": [self.platform], "ad_group_type": [self.ad_group_type]}
+
+    def campaign(self, campaign_id: Column) -> Column:
+        return campaign_id
+
 
 # The two reference report definitions.
 SPEC_A = ExperimentSpec(test_id=1067, control_group=2373, test_group=2374)

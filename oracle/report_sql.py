@@ -16,6 +16,13 @@ _BOTH = dict(platform="IOS", ad_group_type="user-acquisition", excluded_tracker=
              cap_micros=500_000_000, revenue_bound=100_000_000_000, cohort_days=7)
 REPORT_A = SimpleNamespace(test_id=1067, by_campaign=False, first_events=False, d7=False, **_BOTH)
 REPORT_B = SimpleNamespace(test_id=1084, by_campaign=True, first_events=True, d7=True, **_BOTH)
+MANY_REPORTS = [
+    REPORT_A, REPORT_B,
+    SimpleNamespace(**{**vars(REPORT_A), "platform": "ANDROID", "cap_micros": 3_000_000,
+                       "revenue_bound": 90_000_000}),
+    SimpleNamespace(**{**vars(REPORT_B), "by_campaign": False, "cohort_days": 1,
+                       "cap_micros": 40_000_000}),
+]
 
 I, R, A = "install__ad_click__", "reeng_click__", "attribution_event__click__"
 BLANK = "['', '00000000-0000-0000-0000-000000000000']"
