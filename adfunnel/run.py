@@ -17,6 +17,8 @@ from pyspark.sql import SparkSession
 
 from adfunnel.functions.hours import dt_add, dt_hours
 from adfunnel.sources.scan import check_hours, read_dims, read_facts
+from adfunnel.sources.sink import write_hours
+from adfunnel.sources.versions import commit_hours
 from adfunnel.spec import SPEC_A, SPEC_B
 from adfunnel.streaming.hourly import catch_up, run_hours
 
@@ -36,6 +38,8 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--facts", required=True, help="root of the five fact tables")
     p.add_argument("--dims", required=True, help="root of the dimension tables")
     p.add_argument("--sink", required=True, help="hour-partitioned report output")
+    p.add_argument("--versioned", action="store_true",
+                   help="commit the hours as a new version of the sink, all at once")
     return p.parse_args(argv)
 
 
@@ -48,12 +52,13 @@ def main(argv: list[str] | None = None) -> None:
     names = ["customers", "apps", "ab_test_groups"] + (["campaigns"] if spec.by_campaign else [])
     facts, dims = read_facts(spark, args.facts), read_dims(spark, args.dims, names)
     end = args.end or dt_add(args.dt, 1)
+    write = commit_hours if args.versioned else write_hours
     if args.catch_up:
         catch_up(spark, facts, dims, spec, args.dt, end, args.sink,
-                 check=lambda hours: check_hours(spark, args.facts, hours))
+                 check=lambda hours: check_hours(spark, args.facts, hours), write=write)
     else:
         check_hours(spark, args.facts, dt_hours(args.dt, end))
-        run_hours(facts, dims, spec, args.dt, end, args.sink)
+        run_hours(facts, dims, spec, args.dt, end, args.sink, write)
 
 
 if __name__ == "__main__":

@@ -48,10 +48,10 @@ def report_for_hour(template: DataFrame, dt: str) -> DataFrame:
 
 
 def run_hours(facts: Facts, dims: Dims, spec: ExperimentSpec, start: str, end: str,
-              sink: str) -> None:
+              sink: str, write: Callable[..., object] = write_hours) -> None:
     """Compute and write the hourly reports of ``[start, end)``; hours without a report
-    row are cleared in the sink."""
-    write_hours(hourly_report(facts, dims, spec, start, end), sink, hours=dt_hours(start, end))
+    row are cleared in the sink. ``write`` is ``write_hours`` or ``commit_hours``."""
+    write(hourly_report(facts, dims, spec, start, end), sink, hours=dt_hours(start, end))
 
 
 def spec_identity(spec: ExperimentSpec) -> str:
@@ -73,7 +73,8 @@ def written_hours(spark: SparkSession, sink: str) -> set[str]:
 
 
 def catch_up(spark: SparkSession, facts: Facts, dims: Dims, spec: ExperimentSpec,
-             start: str, end: str, sink: str, check: Callable[[list[str]], None] | None = None) -> list[str]:
+             start: str, end: str, sink: str, check: Callable[[list[str]], None] | None = None,
+             write: Callable[..., object] = write_hours) -> list[str]:
     """Write the hours of ``[start, end)`` whose facts are not (fully) in their report yet.
 
     Returns the hours written. The sink keeps, per hour, the manifest of the fact files that
@@ -81,7 +82,8 @@ def catch_up(spark: SparkSession, facts: Facts, dims: Dims, spec: ExperimentSpec
     since, be it of a new table or one more file of a table that had landed. ``check`` is
     called with the pending hours before anything is written (for example
     ``lambda hours: check_hours(spark, root, hours)``). Manifests are compared in Spark;
-    only hours (one row each) reach the driver. A sink belongs to one experiment.
+    only hours (one row each) reach the driver. A sink belongs to one experiment. ``write`` is
+    ``write_hours`` or, for a sink with versions, ``commit_hours``.
     """
     log = read_log(spark, _log_path(sink))
     run = 0
@@ -101,7 +103,7 @@ def catch_up(spark: SparkSession, facts: Facts, dims: Dims, spec: ExperimentSpec
         check(pending)
     keep = Facts(**{name: getattr(facts, name).where(F.col("dt").isin(pending))
                     for name in FACT_NAMES})
-    write_hours(hourly_report(keep, dims, spec, pending[0], end), sink, hours=pending)
+    write(hourly_report(keep, dims, spec, pending[0], end), sink, hours=pending)
     # Logged only after the report hours are committed: a failure before this point leaves
     # them pending, and the rerun overwrites them. An hour without a file left is logged
     # with an empty manifest.
