@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adfunnel.operators.revenue import AUCTION_SLOT, auction_id, event_key_columns
+from adfunnel.sources.scan import DAY, day_of
 from adfunnel.sources.schemas import FACT_SCHEMAS
 from adfunnel.spec import SPEC_A
 
@@ -29,32 +30,53 @@ def auction_slot() -> Column:
 
 
 def write_bucketed_events(app_events: DataFrame, table: str, buckets: int,
-                          path: str | None = None) -> None:
-    """Store hours of app events in ``table``, partitioned by ``dt`` and bucketed by slot.
+                          path: str | None = None, by: str = "day") -> None:
+    """Store hours of app events in ``table``, partitioned by ``by`` and bucketed by slot.
 
     The first call creates the table (below ``path`` if given); later ones replace the hours
-    that ``app_events`` holds and leave the others. Rows are dealt by hour and bucket, one
+    that ``app_events`` holds and leave the others. Rows are dealt by partition and bucket, one
     file each as a rule; the ``rebalance`` hint lets AQE split an oversized one over several
-    writers, whose files still carry the bucket's number. Choose ``buckets`` once, for an
-    hour's events over the bytes a task may hold: tables keep their number.
+    writers, whose files still carry the bucket's number. Choose ``buckets`` and ``by`` once;
+    tables keep theirs. By ``"day"`` there are at most days x buckets files, however few events
+    an hour has, but the other hours of a day are written again with a late one. ``"hour"`` does
+    not do that and is for hours whose events, over the buckets, still fill a file.
     """
+    if by not in ("day", "hour"):
+        raise ValueError(f"by is {by!r}, neither 'day' nor 'hour'")
     spark = app_events.sparkSession
     columns = [*(c for c in FACT_SCHEMAS[NAME].fieldNames() if c != "dt"), AUCTION_SLOT, "dt"]
     exists = spark.catalog.tableExists(table)
     if exists:
         buckets = bucket_count(spark, table)
+        by = "day" if DAY in spark.table(table).columns else "hour"
     rows = app_events.withColumn(AUCTION_SLOT, auction_slot()).select(*columns)
+    part = "dt"
+    if by == "day":
+        part = DAY
+        rows = rows.withColumn(DAY, day_of("dt"))
+        if exists:
+            rows = rows.unionByName(other_hours(spark.table(table), app_events))
     rows = rows.withColumn("_bucket", F.pmod(F.hash(AUCTION_SLOT), F.lit(buckets)))
-    rows = rows.hint("rebalance", "dt", "_bucket").drop("_bucket")
+    rows = rows.hint("rebalance", part, "_bucket").drop("_bucket")
     if exists:
         rows.write.mode("overwrite").insertInto(table)
         return
     # insertInto takes this option from the table, not from the writer
     writer = rows.write.format("parquet").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("dt").bucketBy(buckets, AUCTION_SLOT)
+        .partitionBy(part).bucketBy(buckets, AUCTION_SLOT)
+    if by == "day":
+        writer = writer.sortBy("dt")  # a range of hours reads few row groups of a day
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
+def other_hours(stored: DataFrame, app_events: DataFrame) -> DataFrame:
+    """Stored events of the days that ``app_events`` touches, but of hours it does not hold."""
+    hours = app_events.select(F.col("dt").alias("_hour")).distinct()
+    days = hours.select(day_of("_hour").alias("_day")).distinct()
+    return (stored.join(days, F.col(DAY).eqNullSafe(F.col("_day")), "left_semi")
+            .join(hours, F.col("dt").eqNullSafe(F.col("_hour")), "left_anti"))
+
+
 def bucket_count(spark: SparkSession, table: str) -> int:
     """The number of buckets of a stored table.
 

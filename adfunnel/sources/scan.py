@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,12 @@ from adfunnel.spec import Dims, Facts
 FACT_TABLES = tuple(FACT_SCHEMAS)
 DIM_TABLES = tuple(DIM_SCHEMAS)
 CHECKED_AT_ONCE = 8
+DAY = "dt_day"  # partition column of events stored by day (bucketed.py)
+
+
+def day_of(dt_col: str) -> Column:
+    """The day of a ``YYYY-MM-DDTHH`` hour."""
+    return F.substring(dt_col, 1, 10)
 
 
 def hour_range(df: DataFrame, start: str | None, end: str | None = None,
@@ -26,11 +32,14 @@ def hour_range(df: DataFrame, start: str | None, end: str | None = None,
 
     ``dt`` strings compare lexically, which is chronological for ``YYYY-MM-DDTHH``.
     On a table partitioned by ``dt`` this becomes a partition filter, so only the
-    selected hour directories are listed and read. ``start=None`` keeps every hour.
+    selected hour directories are listed and read; a table partitioned by day gets one too.
+    ``start=None`` keeps every hour.
     """
     if start is None:
         return df
     end = end or dt_add(start, 1)
+    if DAY in df.columns:
+        df = df.where(F.col(DAY).between(start[:10], end[:10]))
     return df.where((F.col(dt_col) >= F.lit(start)) & (F.col(dt_col) < F.lit(end)))
 
 

@@ -11,7 +11,7 @@ from adfunnel.operators.revenue import per_auction_totals
 from adfunnel.plans.partials import report_from_partials, write_partials
 from adfunnel.sources.bucketed import bucket_count, read_bucketed_events, write_bucketed_events
 from adfunnel.sources.derived import derive_dims, derive_facts
-from adfunnel.sources.scan import FACT_TABLES, read_dims, read_facts
+from adfunnel.sources.scan import FACT_TABLES, hour_range, read_dims, read_facts
 from tables_at import SF_CHECK
 
 START, END = "2024-01-03T00", "2024-01-04T00"
@@ -94,6 +94,45 @@ def test_bucketed_hours_are_replaced(spark, lake, tmp_path):
         spark.sql("DROP TABLE some_events")
 
 
+def test_bucketed_files_do_not_grow_with_the_hours(spark, bucketed):
+    """Days x buckets files (writers may split some), not one for each hour and bucket."""
+    hours = bucketed.app_events.select("dt").distinct().count()
+    files = len(bucketed.app_events.inputFiles())
+    assert hours > 40 and files <= 3 * 4  # three days, four buckets
+
+
+@pytest.mark.parametrize("by", ["day", "hour"])
+def test_an_hour_is_replaced_and_the_rest_of_its_day_kept(spark, lake, tmp_path, by):
+    events = read_facts(spark, lake).app_events.where(F.col("dt").between("2024-01-02T20", "2024-01-03T04"))
+    unknown = events.limit(5).withColumn("dt", F.lit(None).cast("string"))
+    events = events.unionByName(unknown).localCheckpoint()
+    one = F.col("dt").eqNullSafe("2024-01-03T02") | F.col("dt").isNull()
+    again = events.where(one & (F.col("event_timestamp") % 2 == 0)).unionByName(events.where(one).limit(1))
+    again = again.localCheckpoint()
+    table, held = f"one_hour_{by}", [r.dt for r in again.select("dt").distinct().collect()]
+    write_bucketed_events(events, table, 2, str(tmp_path / "t"), by)
+    try:
+        write_bucketed_events(again, table, 2)
+        plain = [c for c, t in events.dtypes if not t.startswith("array")]
+        replaced = F.lit(False)
+        for dt in held:
+            replaced = replaced | F.col("dt").eqNullSafe(dt)
+        want = events.where(~replaced).unionByName(again).select(plain)
+        got = read_bucketed_events(spark, table).select(plain)
+        assert 0 < again.count() < got.count() == want.count() < events.count()
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
+def test_ranges_read_the_days_they_need(spark, bucketed):
+    hours = hour_range(bucketed.app_events, "2024-01-03T05", "2024-01-03T07")
+    want = bucketed.app_events.where("dt IN ('2024-01-03T05', '2024-01-03T06')").count()
+    assert hours.count() == want > 0
+    filters = re.search(r"PartitionFilters: \[(.*?)\]", final_plan(hours)).group(1)
+    assert "dt_day" in filters and "2024-01-03" in filters
+
+
 def test_a_table_without_slots_raises(spark, tmp_path):
     spark.range(3).write.option("path", str(tmp_path / "t")).saveAsTable("no_slots")
     try:
