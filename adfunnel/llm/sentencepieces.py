@@ -108,7 +108,7 @@ class Lattices:
         size = np.fromiter(map(len, units), np.int64, len(units))
         end = np.cumsum(size)
         left = np.repeat(end, size) - np.arange(n)  # characters to the word's end
-        src, length, code = [], [], []
+        found = []  # (first character, piece) of the pieces of 1, 2, ... characters
         at, h = np.arange(n), np.zeros(n, np.uint64)
         for m in range(1, self.longest + 1):
             on = left[at] >= m
@@ -125,54 +125,61 @@ class Lattices:
                 more = more[self.keys[place[more]] < wanted[more]]
             hit = self.keys[place] == wanted
             maybe, place = maybe[hit], place[hit]
-            src.append(at[maybe])
-            length.append(np.full(len(maybe), m))
-            code.append(self.key_ids[place])
-            if m == 1:
-                known = np.zeros(n, bool)
-                known[at[maybe]] = True
+            found.append((at[maybe], self.key_ids[place]))
+        known = np.zeros(n, bool)
+        known[found[0][0]] = True
         other = np.flatnonzero(~known)
         spelled = [[self.vocabulary.byte_ids[b] for b in text[i].encode("utf-8", "surrogatepass")] for i in other]
-        src, length = np.concatenate([*src, other]), np.concatenate([*length, np.ones(len(other), np.int64)])
-        code = np.concatenate([*code, np.array([c[0] for c in spelled], np.int64)])
-        width = np.ones(len(src), np.int64)
-        width[len(src) - len(other):] = [len(c) for c in spelled]
-        weight = np.where(np.arange(len(src)) < len(src) - len(other), self.by_id[code], FALLBACK * width)
-        # nearer to the word's end first, then by position, longer pieces first
-        order = np.argsort((left[src] * n + src) * (self.longest + 1) + self.longest - length)
-        fallback = np.flatnonzero(order >= len(src) - len(other))
-        for e in fallback.tolist():
-            self.codes[self.edges + e] = tuple(spelled[order[e] - (len(src) - len(other))])
-        src, length, code, width, weight = (x[order] for x in (src, length, code, width, weight))
+        # nodes nearer to the word's end first, then by position; of a node longer pieces first
+        nodes = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        count = np.bincount(other, minlength=n)
+        for at, _ in found:
+            count[at] += 1
+        count = count[nodes]
+        heads = np.cumsum(count) - count
+        first = np.empty(n, np.int64)
+        first[nodes] = heads
+        src = np.repeat(nodes, count)
+        length, code, width = (np.ones(len(src), np.int32) for _ in range(3))
+        free = first.copy()
+        while found:
+            m, (at, ids) = len(found), found.pop()
+            to = free[at]
+            length[to], code[to] = m, ids
+            free[at] = to + 1
+        to = free[other]
+        code[to] = [c[0] for c in spelled]
+        width[to] = [len(c) for c in spelled]
+        weight = self.by_id[code]
+        weight[to] = FALLBACK * width[to]
+        self.codes.update(zip((to + self.edges).tolist(), map(tuple, spelled)))
         ends = length == left[src]
         target = np.where(ends, n, src + length)
         beta, cum, logp = np.zeros(n + 1), np.empty(len(src)), np.empty(len(src))
-        distance = left[src]
-        steps = np.append(np.flatnonzero(np.diff(distance, prepend=0)), len(src))
-        for lo, hi in zip(steps[:-1].tolist(), steps[1:].tolist()):  # nearer to the word's end first
+        cut = np.append(np.flatnonzero(np.diff(left[nodes], prepend=0)), n)
+        steps = np.append(heads, len(src))[cut]
+        for a, b, lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), steps[:-1].tolist(), steps[1:].tolist()):
             z = weight[lo:hi] + beta[target[lo:hi]]
-            node = src[lo:hi]
-            start = np.flatnonzero(np.diff(node, prepend=-1))
-            count = np.diff(np.append(start, hi - lo))
+            start, several, node = heads[a:b] - lo, count[a:b], nodes[a:b]
             top = np.maximum.reduceat(z, start)
-            p = np.exp(z - np.repeat(top, count))
+            p = np.exp(z - np.repeat(top, several))
             total = np.add.reduceat(p, start)
-            beta[node[start]] = top + np.log(total)
-            p /= np.repeat(total, count)
+            beta[node] = top + np.log(total)
+            p /= np.repeat(total, several)
             run = np.cumsum(p)
-            run -= np.repeat(run[start] - p[start], count)
-            last = start + count - 1
-            run[last] = 1.0
-            z -= np.repeat(beta[node[start]], count)
-            z[start[count == 1]] = 0.0
+            run -= np.repeat(run[start] - p[start], several)
+            run[start + several - 1] = 1.0
+            z -= np.repeat(beta[node], several)
+            z[start[several == 1]] = 0.0
             cum[lo:hi], logp[lo:hi] = run, z
-        first = np.zeros(n, np.int64)
-        heads = np.flatnonzero(np.diff(src, prepend=-1))
-        first[src[heads]] = heads + self.edges
+        first += self.edges
         offset = np.arange(n) - np.repeat(end - size, size)
         base = self.nodes
-        self._append(self.of_edge, self.edges, (cum, logp, np.where(ends, -1, target + base), src + base, code, width,
-                                                np.exp(logp)))
+        del weight, length, free, beta
+        target += base
+        target[ends] = -1
+        src += base
+        self._append(self.of_edge, self.edges, (cum, logp, target, src, code, width, np.exp(logp)))
         self._append(self.of_node, self.nodes, (first, offset, np.repeat(size, size)))
         self.root.update(zip(units, (end - size + base).tolist()))
         self.edges += len(src)
@@ -182,7 +189,9 @@ class Lattices:
         for i, values in enumerate(new):
             need = at + len(values)
             if len(held[i]) < need:
-                held[i] = np.concatenate([held[i], np.zeros(2 * need - len(held[i]), held[i].dtype)])
+                grown = np.empty(2 * need, held[i].dtype)
+                grown[:at] = held[i][:at]
+                held[i] = grown
             held[i][at:need] = values
 
     def arrays(self) -> tuple[np.ndarray, ...]:
@@ -213,27 +222,30 @@ def draw(lat: tuple, node: np.ndarray, unit: np.ndarray, start: np.ndarray,
          state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Random paths from ``node`` to the ends of their words: (unit, edge), in unit order.
 
-    ``start``: character position of each unit in its text; ``state``: hash of its row's
-    seed and the sample.
+    ``unit``: ascending, each once. ``start``: character position of each unit in its text;
+    ``state``: hash of its row's seed and the sample.
     """
     cum, _, target, _, _, _, _, first, offset, _ = lat
-    units, edges = [], []
+    at, count = np.arange(len(unit)), np.zeros(len(unit), np.int64)
+    steps = []
     while len(node):
-        u = uniform(start + offset[node], h=state)
+        u = uniform(start[at] + offset[node], h=state[at])
         e = first[node]
         on = np.flatnonzero(cum[e] < u)
         while len(on):
             e[on] += 1
             on = on[cum[e[on]] < u[on]]
-        units.append(unit)
-        edges.append(e)
+        steps.append((at, e))
+        count[at] += 1
         node = target[e]
-        on = node >= 0
-        node, unit, start, state = node[on], unit[on], start[on], state[on]
-    unit = np.concatenate(units) if units else np.zeros(0, np.int64)
-    edge = np.concatenate(edges) if edges else np.zeros(0, np.int64)
-    order = np.argsort(unit, kind="stable")
-    return unit[order], edge[order]
+        on = np.flatnonzero(node >= 0)
+        node, at = node[on], at[on]
+    end = np.cumsum(count)
+    begin = end - count
+    edge = np.empty(int(count.sum()), np.int64)
+    for i, (at, e) in enumerate(steps):
+        edge[begin[at] + i] = e
+    return np.repeat(unit, count), edge
 
 
 class Search:
@@ -245,24 +257,6 @@ class Search:
         self.sides: list[tuple[np.ndarray, int]] = []  # values of the sets beside a path, first position
         self.taken: list[dict[int, set[int]]] = []  # per path: edges not to take at its first position
 
-    def opened(self, lat: tuple, unit: np.ndarray, edge: np.ndarray, value: float, first: int,
-               barred: set[int], start: np.ndarray) -> None:
-        _, logp, _, node, _, _, prob, _, offset, _ = lat
-        lp = logp[edge]
-        before = np.concatenate([[0.0], np.cumsum(lp)])
-        left = 1 - prob[edge[first:]]
-        if barred:
-            left[0] -= sum(float(np.exp(logp[e])) for e in barred)
-        left = np.where(lp[first:] == 0.0, 0.0, left)
-        ok = left > 1e-12
-        mass = before[first:-1] + np.log(np.where(ok, left, 1.0))
-        u = uniform(self.key, len(self.paths) + 1_000_003, start[unit[first:]] + offset[node[edge[first:]]])
-        with np.errstate(over="ignore"):
-            side = mass - np.log(np.exp(np.minimum(mass - value, 700)) - np.log(u))
-        self.paths.append((unit, edge, float(before[-1]), value))
-        self.sides.append((np.where(ok, side, -np.inf), first))
-        self.taken.append({first: set(barred)})
-
     def best(self) -> tuple[float, int, int]:
         """(value, path, position) of the best remaining set."""
         out = (-np.inf, -1, -1)
@@ -274,6 +268,44 @@ class Search:
         return out
 
 
+def open_all(lat: tuple, found: list[tuple], start: np.ndarray) -> None:
+    """Adds a path to each search: (search, unit, edge, value, first position, barred there)."""
+    _, logp, _, node, _, _, prob, _, offset, _ = lat
+    size = np.array([len(f[2]) for f in found])
+    end = np.cumsum(size)
+    unit, edge = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+    lp = logp[edge]
+    before = np.empty(len(lp))  # log probability of the path up to each position
+    for (s, _, _, value, _, _), lo, hi in zip(found, (end - size).tolist(), end.tolist()):
+        whole = np.cumsum(lp[lo:hi])
+        before[lo], before[lo + 1:hi] = 0.0, whole[:-1]
+        s.paths.append((unit[lo:hi], edge[lo:hi], float(whole[-1]), value))
+    skip = np.array([f[4] for f in found])
+    if skip.any():  # positions before the first
+        on = np.flatnonzero(np.arange(len(lp)) >= np.repeat(end - size + skip, size))
+        unit, edge, lp, before = unit[on], edge[on], lp[on], before[on]
+        size = size - skip
+        end = np.cumsum(size)
+    left = 1 - prob[edge]
+    for (_, _, _, _, _, barred), lo in zip(found, (end - size).tolist()):
+        if barred:
+            left[lo] -= sum(float(np.exp(logp[e])) for e in barred)
+    left[lp == 0.0] = 0.0
+    ok = left > 1e-12
+    left[~ok] = 1.0
+    mass = before + np.log(left)
+    state = hashed(np.array([f[0].key for f in found], np.uint64),
+                   np.array([len(f[0].paths) - 1 + 1_000_003 for f in found]))
+    u = uniform(start[unit] + offset[node[edge]], h=np.repeat(state, size))
+    value = np.repeat(np.array([f[3] for f in found]), size)
+    with np.errstate(over="ignore"):
+        side = mass - np.log(np.exp(np.minimum(mass - value, 700)) - np.log(u))
+    side[~ok] = -np.inf
+    for (s, _, _, _, first, barred), lo, hi in zip(found, (end - size).tolist(), end.tolist()):
+        s.sides.append((side[lo:hi], first))
+        s.taken.append({first: set(barred)})
+
+
 def encode_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int):
     """For each text a list of (ids, log p, value, inclusion)."""
     units, first = [], [0]
@@ -296,10 +328,11 @@ def encode_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int):
     searches = [Search(int(x)) for x in keys]
     unit, edge = draw(lat, node, np.arange(len(units)), start, hashed(keys, 0)[owner])
     cut = np.searchsorted(unit, first)
-    for i, s in enumerate(searches):
-        if first[i + 1] > first[i]:
-            g = -np.log(-np.log(uniform(keys[i], 999_983)))
-            s.opened(lat, unit[cut[i]:cut[i + 1]], edge[cut[i]:cut[i + 1]], float(g), 0, set(), start)
+    g = -np.log(-np.log(uniform(keys, 999_983)))
+    found = [(s, unit[cut[i]:cut[i + 1]], edge[cut[i]:cut[i + 1]], float(g[i]), 0, set())
+             for i, s in enumerate(searches) if first[i + 1] > first[i]]
+    if found:
+        open_all(lat, found, start)
     _, logp, target, of, piece, width, _, head, offset, _ = lat
     for sample in range(1, k):
         todo = []
@@ -310,17 +343,21 @@ def encode_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int):
             pu, pe, _, _ = s.paths[path]
             side, begin = s.sides[path]
             side[at - begin] = -np.inf
-            barred = s.taken[path].get(at, set()) | {int(pe[at])}
-            v = int(of[pe[at]])
-            options, e = [], int(head[v])
+            todo.append((i, value, path, at, s.taken[path].get(at, set()) | {int(pe[at])}))
+        if not todo:
+            break
+        begun = [searches[i].paths[path] for i, _, path, _, _ in todo]
+        forks = of[[p[1][t[3]] for p, t in zip(begun, todo)]]
+        u = uniform(keys[[t[0] for t in todo]], sample, start[[p[0][t[3]] for p, t in zip(begun, todo)]] + offset[forks], 77)
+        for j, (v, x) in enumerate(zip(forks.tolist(), u.tolist())):
+            barred, options, e = todo[j][-1], [], int(head[v])
             while e < lattices.edges and of[e] == v:
                 if e not in barred:
                     options.append(e)
                 e += 1
             weights = np.exp(logp[options])
-            u = float(uniform(keys[i], sample, start[pu[at]] + offset[v], 77))
-            chosen = options[min(int(np.searchsorted(np.cumsum(weights), u * weights.sum())), len(options) - 1)]
-            todo.append((i, value, path, at, barred, chosen))
+            chosen = options[min(int(np.searchsorted(np.cumsum(weights), x * weights.sum())), len(options) - 1)]
+            todo[j] += (chosen,)
         # the rest of the word, and all later words of each text, in one draw
         nodes, us = [], []
         for i, _, path, at, _, chosen in todo:
@@ -329,16 +366,15 @@ def encode_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int):
             rest = [] if target[chosen] < 0 else [here]
             us.append(np.concatenate([np.array(rest, np.int64), later]))
             nodes.append(np.concatenate([np.array([target[chosen]] if rest else [], np.int64), node[later]]))
-        if not todo:
-            break
         us, nodes = np.concatenate(us), np.concatenate(nodes)
         unit, edge = draw(lat, nodes, us, start[us], hashed(keys, sample)[owner[us]])
-        for i, value, path, at, barred, chosen in todo:
-            s = searches[i]
-            pu, pe, _, _ = s.paths[path]
-            a, b = np.searchsorted(unit, [pu[at], first[i + 1]])
-            s.opened(lat, np.concatenate([pu[:at + 1], unit[a:b]]),
-                     np.concatenate([pe[:at], [chosen], edge[a:b]]), value, at, barred, start)
+        cut = np.searchsorted(unit, [(searches[i].paths[path][0][at], first[i + 1]) for i, _, path, at, _, _ in todo])
+        found = []
+        for (i, value, path, at, barred, chosen), (a, b) in zip(todo, cut.tolist()):
+            pu, pe, _, _ = searches[i].paths[path]
+            found.append((searches[i], np.concatenate([pu[:at + 1], unit[a:b]]),
+                          np.concatenate([pe[:at], [chosen], edge[a:b]]), value, at, barred))
+        open_all(lat, found, start)
     for s in searches:
         if not s.paths:
             yield [(np.zeros(0, np.int32), 0.0, 0.0, 1.0)]
@@ -381,6 +417,7 @@ def sampled_segmentations(documents: DataFrame, key: str, text: str, k: int = 2,
         table = [p.encode() for p in voc.pieces]
         for b, i in enumerate(voc.byte_ids):
             table[i] = bytes([b])
+        table = np.array(table, object)
         for batch in batches:
             size = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
             keys = mix64(batch.column(0).fill_null(0).to_numpy().view(np.uint64) ^ np.uint64(seed))
@@ -393,7 +430,7 @@ def sampled_segmentations(documents: DataFrame, key: str, text: str, k: int = 2,
                 for i, rows in enumerate(encode_run(lattices, texts, keys[lo:hi], k)):
                     whole = texts[i].encode("utf-8", "surrogatepass")
                     for s, (ids, p, value, included) in enumerate(rows):
-                        data = b"".join([table[x] for x in ids.tolist()]).replace(b"\xe2\x96\x81", b" ")[1:]
+                        data = b"".join(table[ids].tolist()).replace(b"\xe2\x96\x81", b" ")[1:]
                         for c, v in zip(cols, (lo + i, s + 1, ids, p, value, included, data == whole)):
                             c.append(v)
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in cols[2]])]).astype(np.int32)

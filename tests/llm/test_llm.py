@@ -392,6 +392,23 @@ def test_mix_takes_rare_sources(spark):
     assert rare.target == 10 and rare.taken == 10
 
 
+def test_texts_of_a_run_are_searched_together(monkeypatch):
+    """Random numbers are hashed for all texts at once, and each text's samples are those it has alone."""
+    from adfunnel.llm import sentencepieces
+    from adfunnel.llm.textbytes import mix64
+    voc = sentencepieces.load_vocabulary()
+    texts, keys = ["the cat", "", "a " + "x" * 30 + " né\n", "one two three"] * 25, mix64(np.arange(100, dtype=np.uint64))
+    alone = [next(iter(sentencepieces.encode_run(sentencepieces.Lattices(voc), [t], keys[i:i + 1], 4)))
+             for i, t in enumerate(texts[:8])]
+    calls, hashed = [], sentencepieces.hashed
+    monkeypatch.setattr(sentencepieces, "hashed", lambda *parts, **h: calls.append(1) or hashed(*parts, **h))
+    got = [*sentencepieces.encode_run(sentencepieces.Lattices(voc), texts, keys, 2)]
+    assert len(got) == 100 and len(calls) < 100  # not for each text and sample by itself
+    got = [*sentencepieces.encode_run(sentencepieces.Lattices(voc), texts, keys, 4)]
+    for a, b in zip(alone, got):
+        assert [(x[0].tolist(), *x[1:3]) for x in a] == [(x[0].tolist(), *x[1:3]) for x in b]
+
+
 def test_segmentation_reports_what_decodes(spark):
     df = spark.createDataFrame([(1, "a▁b c"), (2, "a b c"), (3, None)], "doc_id long, text string")
     got = {(r.doc_id, r.decoded_equal) for r in sentencepieces.document_segmentations(df).collect()}
